@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("spatial",)
+MODULES = ("spatial", "scoring")
 
 
 def load_all() -> None:
