@@ -119,7 +119,7 @@ DERIVED: dict[str, str] = {
     "fx_batch_pages": """
         SELECT o_custkey AS batch_id, o_orderkey AS position,
                CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'running' END AS status,
-               o_orderkey % 150 AS scan_id, o_totalprice AS price
+               CAST(floor(o_orderkey/100) AS BIGINT) AS scan_id, o_totalprice AS price
         FROM {orders}""",
 }
 

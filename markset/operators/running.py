@@ -62,3 +62,21 @@ def spread_rank(df: DataFrame, keys: list[str], order: str, out: str = "rank", p
     inside = Window.partitionBy(*keys, "_slice").orderBy(order)
     return (sliced.join(sizes, [*keys, "_slice"])
             .withColumn(out, F.row_number().over(inside) + F.col("_shift")).drop("_slice", "_shift"))
+
+
+def previous(df: DataFrame, by: list[str], order: str, value: str, out: str, slices: int = 64) -> DataFrame:
+    """``value`` of the row before, by ``order`` within ``by``, as column ``out``.
+
+    The order is cut into ranges so that a key holding much of the data is not
+    one window: rows look back inside their range, and the first row of a range
+    takes the last value of the range before it.
+    """
+    bounds = df.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
+    cut = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
+    ranged = df.withColumn("_range", F.size(F.filter(cut, lambda b: b < F.col(order))))
+    w = Window.partitionBy(*by, "_range").orderBy(order)
+    last = ranged.groupBy(*by, "_range").agg(F.max_by(F.struct(value), order).alias("_last"))
+    carried = last.select(*by, "_range", F.lag("_last").over(Window.partitionBy(*by).orderBy("_range")).alias("_carry"))
+    inside = F.lag(F.struct(value)).over(w)
+    return (ranged.withColumn("_before", inside).join(carried, [*by, "_range"])
+            .withColumn(out, F.coalesce("_before", "_carry")[value]).drop("_range", "_before", "_carry"))

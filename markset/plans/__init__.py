@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("spatial", "scoring")
+MODULES = ("spatial", "scoring", "reviews")
 
 
 def load_all() -> None:
