@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markset.operators.curves import ratio, with_prf
+from markset.operators.curves import with_prf
+from markset.operators.running import percentiles
 
 GATED = ("ap", "recall", "f1")  # fixed values: the gated metrics
 
@@ -42,17 +43,21 @@ def worst_pages(pages: DataFrame, k: int, label: str = "page_id") -> DataFrame:
 
 def localization(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Offset statistics over matched pairs; percentiles interpolate linearly."""
-    return matches.groupBy(*(by or [])).agg(
+    by = by or []
+    shares = percentiles(matches, by, "distance", {"median_distance": 0.5, "p95_distance": 0.95}).drop("n")
+    means = matches.groupBy(*by).agg(
         F.count(F.lit(1)).alias("matched_pairs"), F.avg("distance").alias("mean_distance"),
-        F.percentile("distance", F.lit(0.5)).alias("median_distance"), F.percentile("distance", F.lit(0.95)).alias("p95_distance"),
         F.max("distance").alias("max_distance"), F.avg("dx").alias("mean_dx"), F.avg("dy").alias("mean_dy"))
+    return means.join(shares, by) if by else means.join(F.broadcast(shares))
 
 
 def runtime_summary(runs: DataFrame, seconds: str, by: list[str] | None = None) -> DataFrame:
-    return runs.groupBy(*(by or [])).agg(
+    by = by or []
+    shares = percentiles(runs, by, seconds, {"p50": 0.5, "p95": 0.95}).drop("n")
+    sums = runs.groupBy(*by).agg(
         F.count(seconds).alias("with_runtime"), F.count_if(F.col(seconds).isNull()).alias("without_runtime"),
-        F.percentile(seconds, F.lit(0.5)).alias("p50"), F.percentile(seconds, F.lit(0.95)).alias("p95"),
         F.avg(seconds).alias("mean"), F.sum(seconds).alias("total"))
+    return sums.join(shares, by, "left") if by else sums.join(F.broadcast(shares), how="left")
 
 
 def accuracy_status(pages: DataFrame, by: list[str] | None = None, status: str = "status") -> DataFrame:

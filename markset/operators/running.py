@@ -80,3 +80,30 @@ def previous(df: DataFrame, by: list[str], order: str, value: str, out: str, sli
     inside = F.lag(F.struct(value)).over(w)
     return (ranged.withColumn("_before", inside).join(carried, [*by, "_range"])
             .withColumn(out, F.coalesce("_before", "_carry")[value]).drop("_range", "_before", "_carry"))
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact percentiles with linear interpolation, ``{out: share}``, per ``by``.
+
+    Works on one row per distinct value with running counts, so a group holding
+    much of the data is never one aggregation buffer.
+    """
+    steps = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    run = running(steps, by, value, {"_cum": ("sum", "_n")})
+    total = run.groupBy(*by).agg(F.max("_cum").alias("_total"))
+    # without groups the totals are one row
+    j = run.join(total, by) if by else run.join(F.broadcast(total))
+    aggs = []
+    for out, q in wanted.items():
+        at = (F.col("_total") - 1) * F.lit(float(q))
+        low = F.floor(at)
+        high = F.least(low + 1, F.col("_total") - 1)
+        aggs += [F.min(F.when(F.col("_cum") > low, F.col(value))).alias(f"_l_{out}"), F.min(F.when(F.col("_cum") > high, F.col(value))).alias(f"_h_{out}"),
+                 F.max(at - low).alias(f"_f_{out}")]
+    cols = [(F.col(f"_l_{o}") + (F.col(f"_h_{o}") - F.col(f"_l_{o}")) * F.col(f"_f_{o}")).alias(o) for o in wanted]
+    return j.groupBy(*by).agg(*aggs, F.max("_total").alias("n")).select(*by, "n", *cols)
+
+
+def number_rows(df: DataFrame, by: list[str], order: str, out: str) -> DataFrame:
+    """Position of every row, from 1, by the unique ``order`` within ``by``."""
+    return running(df.withColumn("_one", F.lit(1)), by, order, {out: ("sum", "_one")}).drop("_one")

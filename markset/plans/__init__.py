@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("spatial", "scoring", "reviews")
+MODULES = ("spatial", "scoring", "reviews", "learning")
 
 
 def load_all() -> None:
