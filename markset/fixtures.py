@@ -1,7 +1,8 @@
 """Operator inputs derived from the driver tables.
 
 Every derivation is one SQL text that both Spark and DuckDB accept, so an
-operator and its oracle start from the same rows. ``{name}`` refers to a
+operator and its oracle start from the same rows; where the dialects part, a
+pair holds the Spark and the DuckDB form. ``{name}`` refers to a
 driver table or to another derivation.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-DERIVED: dict[str, str] = {
+DERIVED: dict[str, str | tuple[str, str]] = {
     # -- drawing pages: one page per supplier, one symbol per order line
     "fx_base": """
         SELECT l_suppkey AS page_id, l_orderkey AS k, l_linenumber AS ln, min(l_partkey) AS pk,
@@ -115,6 +116,36 @@ DERIVED: dict[str, str] = {
                upper(p_name) || CASE WHEN p_partkey % 4 = 0 THEN ' NEW, ' ELSE ', ' END || p_type AS description,
                p_size % 5 <> 0 AS counted
         FROM {part}""",
+    "fx_signed_legend": """
+        SELECT *, {SHA:name || CAST(entry_no % 2 AS VARCHAR(10))} AS signature, CAST(entry_no % 6 AS DOUBLE) * 10 + 40 AS detail,
+               entry_no % 7 = 0 AS has_label
+        FROM {fx_legend}""",
+    "fx_legend_lines": """
+        SELECT legend_id AS page_id, -3 AS line_no, 'ELECTRICAL LEGEND' AS text, 100.0 AS x0, 10.0 AS y0, 400.0 AS x1, 30.0 AS y1
+          FROM {fx_legend} GROUP BY legend_id
+        UNION ALL SELECT legend_id, -2, 'SYMBOL', 100.0, 40.0, 180.0, 60.0 FROM {fx_legend} GROUP BY legend_id
+        UNION ALL SELECT legend_id, -1, 'DESCRIPTION', 300.0, 40.0, 460.0, 60.0 FROM {fx_legend} GROUP BY legend_id
+        UNION ALL SELECT legend_id, CAST(entry_no AS INT), CASE WHEN entry_no % 11 = 5 THEN upper(name) ELSE description END, 300.0 + entry_no % 3,
+               80.0 + 28*(entry_no % 200), 320.0 + 9*length(description), 100.0 + 28*(entry_no % 200) FROM {fx_legend}""",
+    "fx_page_text": """
+        SELECT page_id, k*10+ln AS line_no, rf || ls || ' ' || CAST(ln AS VARCHAR(10)) AS text,
+               CAST((k*7919 + ln*104729) % 3400 + k%60 - 30 AS DOUBLE) AS x0, CAST((k*6151 + pk*31 + ln*15485) % 2200 + pk%40 - 30 AS DOUBLE) AS y0,
+               CAST((k*7919 + ln*104729) % 3400 + k%60 + 10 AS DOUBLE) AS x1, CAST((k*6151 + pk*31 + ln*15485) % 2200 + pk%40 - 10 AS DOUBLE) AS y1
+        FROM {fx_base}""",
+    "fx_lines": (
+        """SELECT doc_id AS page_id, CAST(n AS BIGINT) AS line_no, line AS text, CAST(100 + (doc_id*13 + n*7) % 400 AS DOUBLE) AS x0, CAST(n*30 AS DOUBLE) AS y0,
+               CAST(100 + (doc_id*13 + n*7) % 400 + 8*length(line) AS DOUBLE) AS x1, CAST(n*30 + 20 AS DOUBLE) AS y1
+           FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (n, line) FROM {documents}) WHERE trim(line) <> ''""",
+        """SELECT doc_id AS page_id, n AS line_no, line AS text, CAST(100 + (doc_id*13 + n*7) % 400 AS DOUBLE) AS x0, CAST(n*30 AS DOUBLE) AS y0,
+               CAST(100 + (doc_id*13 + n*7) % 400 + 8*length(line) AS DOUBLE) AS x1, CAST(n*30 + 20 AS DOUBLE) AS y1
+           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) WHERE trim(line, ' ') <> ''"""),
+    "fx_words": (
+        """SELECT page_id, line_no, CAST(w AS BIGINT) AS word_no, word AS text, x0 + 60*w AS x0, y0 + w % 3 AS y0, x0 + 60*w + 8*length(word) AS x1, y0 + 20 + w % 2 AS y1,
+               CAST((page_id*7 + line_no*3 + w*11) % 101 AS DOUBLE) AS confidence
+           FROM (SELECT *, posexplode(split(text, ' ')) AS (w, word) FROM {fx_lines}) WHERE word <> ''""",
+        """SELECT page_id, line_no, w AS word_no, word AS text, x0 + 60*w AS x0, y0 + w % 3 AS y0, x0 + 60*w + 8*length(word) AS x1, y0 + 20 + w % 2 AS y1,
+               CAST((page_id*7 + line_no*3 + w*11) % 101 AS DOUBLE) AS confidence
+           FROM (SELECT * EXCLUDE text, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS w FROM fx_lines) WHERE word <> ''"""),
     # -- batches: one per customer, its orders are the pages
     "fx_batch_pages": """
         SELECT o_custkey AS batch_id, o_orderkey AS position,
@@ -127,11 +158,14 @@ _SPARK_WORDS = {"VARCHAR(10)": "STRING", "VARCHAR(20)": "STRING"}
 
 
 def _fields(sql: str) -> list[str]:
-    return [name for _, name, _, _ in string.Formatter().parse(sql) if name and name != "MICROS"]
+    return [name for _, name, _, _ in string.Formatter().parse(sql) if name and name not in ("MICROS", "SHA")]
 
 
-class _Micros:
-    """Formats ``{MICROS:column}`` to microseconds since the epoch, time-zone free."""
+class _Call:
+    """Formats ``{NAME:expression}`` to an engine's own function call.
+
+    MICROS is microseconds since the epoch, time-zone free; SHA is a hex SHA-256.
+    """
 
     def __init__(self, template: str) -> None:
         self.template = template
@@ -140,8 +174,9 @@ class _Micros:
         return self.template % spec
 
 
-_SPARK_MICROS = _Micros("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(%s AS TIMESTAMP_NTZ))")
-_DUCK_MICROS = _Micros("epoch_us(%s)")
+_SPARK_SHA, _DUCK_SHA = _Call("sha2(%s, 256)"), _Call("sha256(%s)")
+_SPARK_MICROS = _Call("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(%s AS TIMESTAMP_NTZ))")
+_DUCK_MICROS = _Call("epoch_us(%s)")
 
 
 class Tables:
@@ -160,7 +195,7 @@ class Tables:
     def _load(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        sql = DERIVED[name]
+        sql = _text(name, 0)
         needs = {f: getattr(self, f) for f in _fields(sql)}
         views = {}
         for f, df in needs.items():
@@ -168,7 +203,13 @@ class Tables:
             df.createOrReplaceTempView(views[f])
         for word, mine in _SPARK_WORDS.items():
             sql = sql.replace(word, mine)
-        return self.spark.sql(sql.format(MICROS=_SPARK_MICROS, **views))
+        return self.spark.sql(sql.format(MICROS=_SPARK_MICROS, SHA=_SPARK_SHA, **views))
+
+
+def _text(name: str, engine: int) -> str:
+    """Derivation text: shared, or the Spark (0) or DuckDB (1) form where the dialects part."""
+    sql = DERIVED[name]
+    return sql if isinstance(sql, str) else sql[engine]
 
 
 def _closure(names: tuple[str, ...]) -> list[str]:
@@ -176,7 +217,7 @@ def _closure(names: tuple[str, ...]) -> list[str]:
 
     def visit(name: str) -> None:
         if name in DERIVED and name not in order:
-            for f in _fields(DERIVED[name]):
+            for f in _fields(_text(name, 0)):
                 visit(f)
             order.append(name)
 
@@ -187,6 +228,6 @@ def _closure(names: tuple[str, ...]) -> list[str]:
 
 def cte(*names: str, recursive: bool = False) -> str:
     """``WITH`` clause defining the named derivations for DuckDB (no trailing comma)."""
-    parts = [f"{n} AS ({DERIVED[n].format(MICROS=_DUCK_MICROS, **{f: f for f in _fields(DERIVED[n])})})"
+    parts = [f"{n} AS ({_text(n, 1).format(MICROS=_DUCK_MICROS, SHA=_DUCK_SHA, **{f: f for f in _fields(_text(n, 1))})})"
              for n in _closure(names)]
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts)

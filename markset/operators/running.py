@@ -6,8 +6,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PLAIN_LIMIT = 20_000
-RANGES = 256
+from markset.session import materialize
+
+#: Up to this many (already aggregated) rows, one window per group is the cheaper plan.
+PLAIN_LIMIT = 400_000
+RANGES = 128
 
 
 def running(df: DataFrame, by: list[str], order: str, aggs: dict[str, tuple[str, str]], descending: bool = False,
@@ -20,8 +23,7 @@ def running(df: DataFrame, by: list[str], order: str, aggs: dict[str, tuple[str,
     the windows run inside the ranges.
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cuts = [i / RANGES for i in range(1, RANGES)]
-    n, bounds = df.agg(F.count(F.lit(1)), F.percentile_approx(order, cuts, 10_000)).first()
+    n = df.count()
     direction = F.col(order).desc() if descending else F.col(order).asc()
 
     def apply(frame, window, names):
@@ -32,7 +34,8 @@ def running(df: DataFrame, by: list[str], order: str, aggs: dict[str, tuple[str,
     if n <= plain_limit:
         keys = by or [F.lit(0)]
         return apply(df, Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0), aggs)
-    bounds = sorted(set(bounds))
+    cuts = [i / RANGES for i in range(1, RANGES)]
+    bounds = sorted(set(df.agg(F.percentile_approx(order, cuts, 10_000)).first()[0]))
     ranged = df.withColumn("_range", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order))))
     totals = ranged.groupBy(*by, "_range").agg(*[getattr(F, how)(col).alias(out) for out, (how, col) in aggs.items()])
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(
@@ -107,3 +110,18 @@ def percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, floa
 def number_rows(df: DataFrame, by: list[str], order: str, out: str) -> DataFrame:
     """Position of every row, from 1, by the unique ``order`` within ``by``."""
     return running(df.withColumn("_one", F.lit(1)), by, order, {out: ("sum", "_one")}).drop("_one")
+
+
+def dense_ids(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Ids 1, 2, 3, ... over the whole table in ``order``, without a global window.
+
+    Rows are range-partitioned once and written with their range; each range is
+    numbered on its own and shifted by the sizes of the ranges before it.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range: at most as many as shuffle partitions
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    rn = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.join(F.broadcast(shifts), "_p").withColumn(out, rn + F.col("_shift")).drop("_p", "_shift")

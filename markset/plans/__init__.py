@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("spatial", "scoring", "reviews", "learning")
+MODULES = ("spatial", "scoring", "reviews", "learning", "legends")
 
 
 def load_all() -> None:
