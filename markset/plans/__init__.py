@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("spatial", "scoring", "reviews", "learning", "legends")
+MODULES = ("spatial", "scoring", "reviews", "learning", "legends", "datasets")
 
 
 def load_all() -> None:
