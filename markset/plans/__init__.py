@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("spatial", "scoring", "reviews", "learning", "legends", "datasets")
+MODULES = ("spatial", "scoring", "reviews", "learning", "legends", "datasets", "streams")
 
 
 def load_all() -> None:
