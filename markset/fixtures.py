@@ -146,6 +146,44 @@ DERIVED: dict[str, str | tuple[str, str]] = {
         """SELECT page_id, line_no, w AS word_no, word AS text, x0 + 60*w AS x0, y0 + w % 3 AS y0, x0 + 60*w + 8*length(word) AS x1, y0 + 20 + w % 2 AS y1,
                CAST((page_id*7 + line_no*3 + w*11) % 101 AS DOUBLE) AS confidence
            FROM (SELECT * EXCLUDE text, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS w FROM fx_lines) WHERE word <> ''"""),
+    # -- line work: a hundred symbols a sheet, one per part, in three shapes and four turns;
+    #    every third symbol is crossed by a stray line
+    "fx_symbols": """
+        SELECT CAST(floor(p_partkey/100) AS BIGINT) AS page_id, p_partkey AS symbol_id, CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS shape,
+               CAST(90 * (p_partkey % 4) AS INT) AS rotation,
+               CAST(60 + (p_partkey % 10)*330 + (p_partkey % 7)*10 AS DOUBLE) AS cx,
+               CAST(60 + floor((p_partkey % 100)/10)*210 + (p_partkey % 5)*8 AS DOUBLE) AS cy
+        FROM {part}""",
+    "fx_shape_lines": """
+        SELECT * FROM (VALUES
+          ('A', 0, 0, -15.0, -10.0, -5.0, -10.0, 5.0, -10.0, 15.0, -10.0), ('A', 1, 0, 15.0, -10.0, 15.0, -3.3, 15.0, 3.3, 15.0, 10.0),
+          ('A', 2, 0, 15.0, 10.0, 5.0, 3.3, -5.0, -3.3, -15.0, -10.0),
+          ('N', 0, 0, -12.0, -12.0, -4.0, -12.0, 4.0, -12.0, 12.0, -12.0), ('N', 1, 0, 12.0, -12.0, 12.0, -4.0, 12.0, 4.0, 12.0, 12.0),
+          ('N', 2, 0, 12.0, 12.0, 4.0, 12.0, -4.0, 12.0, -12.0, 12.0), ('N', 3, 0, -12.0, 12.0, -12.0, 4.0, -12.0, -4.0, -12.0, -12.0),
+          ('N', 4, 0, -12.0, -12.0, -4.0, -4.0, 0.0, 0.0, 4.0, 4.0),
+          ('R', 0, 0, -10.0, -15.0, -10.0, -5.0, -10.0, 5.0, -10.0, 15.0), ('R', 1, 0, -10.0, 15.0, -3.0, 15.0, 3.0, 15.0, 10.0, 15.0),
+          ('R', 2, 1, 10.0, 15.0, 14.0, 5.0, 4.0, -5.0, 10.0, -15.0)) AS s(shape, part_no, kind, ax, ay, bx, by_, gx, gy, dx, dy)""",
+    "fx_primitives": """
+        WITH m AS (SELECT *, CASE rotation WHEN 0 THEN 1 WHEN 180 THEN -1 ELSE 0 END AS co, CASE rotation WHEN 90 THEN 1 WHEN 270 THEN -1 ELSE 0 END AS si FROM {fx_symbols}),
+        p AS (SELECT page_id, symbol_id*10 + part_no AS prim_id, kind,
+                cx + co*CAST(ax AS DOUBLE) - si*CAST(ay AS DOUBLE) AS c0x, cy + si*CAST(ax AS DOUBLE) + co*CAST(ay AS DOUBLE) AS c0y,
+                cx + co*CAST(bx AS DOUBLE) - si*CAST(by_ AS DOUBLE) AS c1x, cy + si*CAST(bx AS DOUBLE) + co*CAST(by_ AS DOUBLE) AS c1y,
+                cx + co*CAST(gx AS DOUBLE) - si*CAST(gy AS DOUBLE) AS c2x, cy + si*CAST(gx AS DOUBLE) + co*CAST(gy AS DOUBLE) AS c2y,
+                cx + co*CAST(dx AS DOUBLE) - si*CAST(dy AS DOUBLE) AS c3x, cy + si*CAST(dx AS DOUBLE) + co*CAST(dy AS DOUBLE) AS c3y
+              FROM m JOIN {fx_shape_lines} l ON m.shape = l.shape
+              UNION ALL SELECT page_id, symbol_id*10 + 9, 0, cx-40, cy+1, cx-15, cy+2, cx+15, cy+3, cx+40, cy+4 FROM m WHERE symbol_id % 3 = 0)
+        SELECT *, least(c0x,c1x,c2x,c3x) AS x0, least(c0y,c1y,c2y,c3y) AS y0, greatest(c0x,c1x,c2x,c3x) AS x1, greatest(c0y,c1y,c2y,c3y) AS y1 FROM p""",
+    "fx_exemplars": """
+        SELECT shape AS exemplar_id, part_no, kind, CAST(ax AS DOUBLE) AS c0x, CAST(ay AS DOUBLE) AS c0y, CAST(bx AS DOUBLE) AS c1x, CAST(by_ AS DOUBLE) AS c1y,
+               CAST(gx AS DOUBLE) AS c2x, CAST(gy AS DOUBLE) AS c2y, CAST(dx AS DOUBLE) AS c3x, CAST(dy AS DOUBLE) AS c3y FROM {fx_shape_lines}""",
+    "fx_placements": """
+        SELECT page_id, symbol_id AS placement_id, 'block-' || shape AS group_key, CAST(symbol_id % 3 AS INT) AS depth,
+               CASE rotation WHEN 0 THEN 1.5 WHEN 180 THEN -1.5 ELSE 0.0 END * CASE WHEN symbol_id % 5 = 0 THEN -1 ELSE 1 END AS m11,
+               CASE rotation WHEN 90 THEN -1.5 WHEN 270 THEN 1.5 ELSE 0.0 END AS m12,
+               CASE rotation WHEN 90 THEN 1.5 WHEN 270 THEN -1.5 ELSE 0.0 END * CASE WHEN symbol_id % 5 = 0 THEN -1 ELSE 1 END AS m21,
+               CASE rotation WHEN 0 THEN 1.5 WHEN 180 THEN -1.5 ELSE 0.0 END AS m22,
+               cx-15 AS x0, cy-15 AS y0, cx+15 AS x1, cy+15 AS y1
+        FROM {fx_symbols}""",
     # -- batches: one per customer, its orders are the pages
     "fx_batch_pages": """
         SELECT o_custkey AS batch_id, o_orderkey AS position,

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("spatial", "scoring", "reviews", "learning", "legends", "datasets", "streams")
+MODULES = ("spatial", "scoring", "reviews", "learning", "legends", "datasets", "streams", "drawings")
 
 
 def load_all() -> None:
