@@ -23,6 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = (edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
          .where(F.col("u") != F.col("v")).distinct())
+    e = materialize(e, "edges")  # a round reads its edges several times
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -48,15 +49,15 @@ def _is_star_forest(e: DataFrame) -> bool:
 
 
 def greedy_keep(boxes: DataFrame, order: list[Column], conflict: Callable[[list[Column], list[Column]], Column],
-                page: tuple[str, ...] = ("page_id",)) -> DataFrame:
+                page: tuple[str, ...] = ("page_id",), leaders: bool = False) -> DataFrame:
     """Exact greedy selection: walk the boxes of a page in ``order`` and keep a box
     unless it conflicts with one already kept.
 
     ``boxes``: the page columns, box_id, x0, y0, x1, y1 and the columns used by
     ``order``; box_id breaks ties. ``conflict`` gets two ``[x0, y0, x1, y1]`` lists
     and may only hold for touching boxes; identical boxes must conflict. Returns
-    the page columns, box_id, ``kept`` and ``leader_id``: the best-ordered kept
-    box it conflicts with (itself when kept).
+    the page columns, box_id and ``kept``; with ``leaders`` also ``leader_id``, the
+    best-ordered kept box it conflicts with (itself when kept).
 
     Copies of one box collapse to their best first. Each round then keeps every
     box that no undecided box sharing a cell can beat and drops what conflicts
@@ -64,12 +65,11 @@ def greedy_keep(boxes: DataFrame, order: list[Column], conflict: Callable[[list[
     """
     page = list(page)
     edge = ["x0", "y0", "x1", "y1"]
-    ranked = boxes.select(*page, "box_id", *edge, F.struct(*order, F.col("box_id").alias("_id")).alias("rank"))
-    spots = ranked.groupBy(*page, *edge).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("copies"))
-    spots = materialize(spots.withColumn("page_id", F.struct(*page)), "spots")
+    ranked = boxes.select(F.struct(*page).alias("page_id"), "box_id", *edge, F.struct(*order, F.col("box_id").alias("_id")).alias("rank"))
+    spots = materialize(ranked.groupBy("page_id", *edge).agg(F.min("rank").alias("rank")), "spots")
     levels = present_levels(spots) or [0]
     cell = ["page_id", "_lv", "_gx", "_gy"]
-    undecided, kept_parts, lost_parts = spots.select("page_id", *edge, "rank"), [], []
+    undecided, rounds = spots.select("page_id", *edge, "rank"), []
     for _ in range(MAX_ROUNDS):
         placed = register_cells(undecided, levels)
         best = placed.groupBy(*cell).agg(F.min("rank").alias("best_any"),
@@ -79,34 +79,28 @@ def greedy_keep(boxes: DataFrame, order: list[Column], conflict: Callable[[list[
         rival = F.when(F.col("_own"), F.col("best_any")).otherwise(F.col("best_own"))
         state = (placed.join(best, cell)
                  .groupBy("page_id", *edge, "rank")
-                 .agg(F.min(F.coalesce(F.col("rank") <= rival, F.lit(True))).alias("wins")))
-        state = materialize(state, "greedy")
-        won, open_ = state.where("wins").drop("wins"), state.where(~F.col("wins")).drop("wins")
-        kept_parts.append(won)
-        if open_.isEmpty():
-            break
-        lost = materialize(_conflicting(won, open_, levels, conflict), "dropped")
-        lost_parts.append(lost)
-        undecided = materialize(open_.join(lost.select("page_id", "rank"), ["page_id", "rank"], "left_anti"), "undecided")
+                 .agg(F.min(F.coalesce(F.col("rank") <= rival, F.lit(True))).alias("kept")))
+        lost = _conflicting(state.where("kept").drop("kept"), state.where(~F.col("kept")).drop("kept"), levels, conflict)
+        done = materialize(state.join(lost.select("page_id", "rank", "leader"), ["page_id", "rank"], "left"), "greedy")
+        rounds.append(done.where(F.col("kept") | F.col("leader").isNotNull()))
+        undecided = done.where(~F.col("kept") & F.col("leader").isNull()).select("page_id", *edge, "rank")
         if undecided.isEmpty():
             break
     else:
         raise RuntimeError(f"greedy selection did not settle in {MAX_ROUNDS} rounds")
-    kept = kept_parts[0]
-    for part in kept_parts[1:]:
-        kept = kept.unionByName(part)
-    decided = kept.select("page_id", "rank", F.col("rank").alias("leader"))
-    if lost_parts:
-        lost = lost_parts[0]
-        for part in lost_parts[1:]:
-            lost = lost.unionByName(part)
-        # Later winners may be better ordered than the one that dropped the box.
-        final = _conflicting(kept, lost.select("page_id", *edge, "rank"), levels, conflict) if len(kept_parts) > 1 else lost
-        decided = decided.unionByName(final.select("page_id", "rank", "leader"))
-    by_spot = spots.join(decided, ["page_id", "rank"]).select("page_id", *edge, "leader")
+    settled = rounds[0]
+    for part in rounds[1:]:
+        settled = settled.unionByName(part)
+    settled = settled.withColumn("leader", F.when(F.col("kept"), F.col("rank")).otherwise(F.col("leader")))
+    if leaders and len(rounds) > 1:
+        # a box may also conflict with a better-ordered box that was kept in a later round
+        kept = settled.where("kept").select("page_id", *edge, "rank")
+        lost = _conflicting(kept, settled.where(~F.col("kept")).select("page_id", *edge, "rank"), levels, conflict)
+        settled = settled.where("kept").select("page_id", *edge, "leader").unionByName(lost.select("page_id", *edge, "leader"))
     lead = F.col("leader._id")
-    return (ranked.withColumn("page_id", F.struct(*page)).join(by_spot, ["page_id", *edge])
-            .select("page_id.*", "box_id", (F.col("box_id") == lead).alias("kept"), lead.alias("leader_id")))
+    best = F.when(F.col("kept"), F.col("box_id") == lead).otherwise(F.lit(False)) if not leaders else F.col("box_id") == lead
+    out = ranked.drop("rank").join(settled.select("page_id", *edge, "leader", *([] if leaders else ["kept"])), ["page_id", *edge])
+    return out.select("page_id.*", "box_id", best.alias("kept"), *([lead.alias("leader_id")] if leaders else []))
 
 
 def _conflicting(kept: DataFrame, others: DataFrame, levels: list[int], conflict) -> DataFrame:

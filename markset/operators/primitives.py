@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markset.functions import geometry as G
 from markset.operators.graph import connected_components, greedy_keep
 from markset.operators.spatial import box_join, conflict_test
-from markset.session import materialize
+from markset.session import materialize, spread
 
 TOLERANCE = 0.5 * 200 / 72  # half a point in canonical pixels
 CURVE_STEPS = 12
@@ -31,6 +35,13 @@ def sample_points(step: float) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(G.cubic(_xs(), at(i)).alias("x"), G.cubic(_ys(), at(i)).alias("y")))
 
 
+def explode_samples(df: DataFrame, step: float) -> DataFrame:
+    """One row per sample point ``px, py``; the arithmetic stays in generated code."""
+    n = F.greatest(F.lit(2), F.ceil(G.control_length(_xs(), _ys()) / step).cast("int") + 1)
+    out = df.withColumn("_n", n - 1).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n")))).withColumn("_t", F.col("_i") / F.col("_n"))
+    return out.withColumn("px", G.cubic(_xs(), F.col("_t"))).withColumn("py", G.cubic(_ys(), F.col("_t"))).drop("_n", "_i", "_t")
+
+
 def flat_segments() -> Column:
     """Array of straight pieces of a primitive: one for a line, twelve for a curve."""
     n = F.when(F.col("kind") == 0, 1).otherwise(CURVE_STEPS)
@@ -43,10 +54,6 @@ def flat_length(segments: Column) -> Column:
     return F.aggregate(segments, F.lit(0.0), lambda s, g: s + F.sqrt((g["bx"] - g["ax"]) ** 2 + (g["by"] - g["ay"]) ** 2))
 
 
-def _touches(point: Column, segments: Column, tol: float) -> Column:
-    return F.exists(segments, lambda g: G.segment_distance(point["x"], point["y"], g["ax"], g["ay"], g["bx"], g["by"]) <= tol)
-
-
 def _pose(i: str = "pose") -> list[Column]:
     """The four map entries of pose number ``i`` as columns."""
     table = F.array(*[F.array(*[F.lit(float(v)) for v in p[2:]]) for p in G.POSES])
@@ -109,14 +116,14 @@ def signature_matches(labelled: DataFrame, exemplars: DataFrame, tol: float = TO
     sizes = labelled.groupBy("page_id", "comp").agg(F.count(F.lit(1)).alias("n_parts"))
     # exemplars are the legend's drawings: a table of legend size
     fits = sizes.join(exemplars.select("n_parts").distinct(), "n_parts", "left_semi")
-    p = labelled.join(fits, ["page_id", "comp"]).withColumns(
-        {"fine": sample_points(tol / 2), "ctrl": F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in zip(_xs(), _ys())])})
-    c = p.groupBy("page_id", "comp", "n_parts").agg(F.flatten(F.collect_list("fine")).alias("fine"), F.flatten(F.collect_list("ctrl")).alias("ctrl"))
-    mean = lambda k: F.aggregate("fine", F.lit(0.0), lambda s, v: s + v[k]) / F.size("fine")
-    c = c.withColumns({"mx": mean("x"), "my": mean("y")})
-    rms = F.sqrt(F.aggregate("fine", F.lit(0.0), lambda s, v: s + (v["x"] - F.col("mx")) ** 2 + (v["y"] - F.col("my")) ** 2) / F.size("fine"))
-    c = materialize(c.withColumn("size", F.greatest(rms, F.lit(1e-9))).drop("fine")
-                    .withColumn("desc", F.xxhash64(_descriptor(F.col("ctrl"), F.col("mx"), F.col("my"), F.col("size"), quantum))), "drawings")
+    p = labelled.join(fits, ["page_id", "comp"])
+    key = ["page_id", "comp", "n_parts"]
+    centre = explode_samples(p, tol / 2).groupBy(*key).agg(
+        F.avg("px").alias("mx"), F.avg("py").alias("my"), F.greatest(F.sqrt(F.var_pop("px") + F.var_pop("py")), F.lit(1e-9)).alias("size"))
+    ctrl = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in zip(_xs(), _ys())])
+    c = p.groupBy(*key).agg(F.flatten(F.collect_list(ctrl)).alias("ctrl")).join(centre, key)
+    desc = F.xxhash64(_descriptor(F.col("ctrl"), F.col("mx"), F.col("my"), F.col("size"), quantum))
+    c = materialize(spread(c, "page_id", "comp").withColumn("desc", desc), "drawings")
     e = exemplars.withColumn("pose", F.explode(F.sequence(F.lit(0), F.lit(7))))
     e = e.withColumn("desc", F.xxhash64(_descriptor(F.col("ctrl"), F.col("mx"), F.col("my"), F.col("size"), quantum, _pose())))
     e = e.select("exemplar_id", "n_parts", "pose", "desc", F.col("size").alias("e_size"), F.col("ctrl").alias("e_ctrl"), F.col("mx").alias("emx"), F.col("my").alias("emy"))
@@ -180,11 +187,6 @@ def pose_hypotheses(primitives: DataFrame, parts: DataFrame, tol: float = TOLERA
             .agg(F.min(F.struct("tx", "ty")).alias("t")).select("page_id", "exemplar_id", "pose", F.lit(1.0).alias("scale"), "t.tx", "t.ty"))
 
 
-def _place(points: Column, scale: Column, tx: Column, ty: Column) -> Column:
-    m = _pose()
-    return F.transform(points, lambda v: F.struct((scale * (m[0] * v["x"] + m[1] * v["y"]) + tx).alias("x"), (scale * (m[2] * v["x"] + m[3] * v["y"]) + ty).alias("y")))
-
-
 def coarse_filter(poses: DataFrame, primitives: DataFrame, exemplars: DataFrame, threshold: float = 0.9, tol: float = TOLERANCE) -> DataFrame:
     """Drop poses whose sample points mostly lie away from ink.
 
@@ -192,18 +194,61 @@ def coarse_filter(poses: DataFrame, primitives: DataFrame, exemplars: DataFrame,
     share of marked points is never below the exact coverage.
     """
     cell = 2 * tol
-    ink = primitives.select("page_id", F.explode(sample_points(tol)).alias("p"))
-    ix, iy = F.floor(F.col("p.x") / cell), F.floor(F.col("p.y") / cell)
+    ink = explode_samples(primitives.select("page_id", *CTRL), tol)
+    ix, iy = F.floor(F.col("px") / cell), F.floor(F.col("py") / cell)
     around = F.array(*[F.struct((ix + a).alias("i"), (iy + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     ink = ink.select("page_id", F.explode(around).alias("c")).select("page_id", "c.i", "c.j").distinct()
-    keyed = poses.join(exemplars.select("exemplar_id", "pts"), "exemplar_id")
+    keyed = spread(poses).join(exemplars.select("exemplar_id", "pts"), "exemplar_id")
     key = ["page_id", "exemplar_id", "pose", "scale", "tx", "ty"]
-    pts = keyed.select(*key, F.size("pts").alias("n"), F.explode(_place(F.col("pts"), F.col("scale"), F.col("tx"), F.col("ty"))).alias("q"))
-    pts = pts.select(*key, "n", F.floor(F.col("q.x") / cell).alias("i"), F.floor(F.col("q.y") / cell).alias("j"))
+    m, s = _pose(), F.col("scale")
+    pts = keyed.select(*key, F.size("pts").alias("n"), *[v.alias(f"_m{i}") for i, v in enumerate(m)], F.explode("pts").alias("q"))
+    qx = s * (F.col("_m0") * F.col("q.x") + F.col("_m1") * F.col("q.y")) + F.col("tx")
+    qy = s * (F.col("_m2") * F.col("q.x") + F.col("_m3") * F.col("q.y")) + F.col("ty")
+    pts = pts.select(*key, "n", F.floor(qx / cell).alias("i"), F.floor(qy / cell).alias("j"))
     hit = pts.join(ink, ["page_id", "i", "j"], "left_semi").groupBy(*key, "n").agg(F.count(F.lit(1)).alias("on"))
     return hit.where(F.col("on") >= threshold * F.col("n")).select(*key)
 
 
+def _gaps(px, py, ax, ay, bx, by) -> np.ndarray:
+    """Distance of each point to the nearest of some segments."""
+    ex, ey = bx - ax, by - ay
+    inv = 1.0 / np.maximum(ex * ex + ey * ey, 1e-12)
+    dx, dy = px[:, None] - ax, py[:, None] - ay
+    t = np.clip((dx * ex + dy * ey) * inv, 0.0, 1.0)
+    return np.sqrt(((dx - t * ex) ** 2 + (dy - t * ey) ** 2).min(axis=1))
+
+
+def _bezier(xs, ys, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a cubic at the parameters ``t``."""
+    u = 1.0 - t
+    w = np.stack([u**3, 3 * u * u * t, 3 * u * t * t, t**3])
+    return xs @ w, ys @ w
+
+
+def _contact_kernel(tol: float, share: float):
+    """For each pose and primitive: which exemplar points lie on it, and its length if it
+    is inside the box but not explained by the exemplar."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            touched, extra = [], []
+            for r in pdf.itertuples(index=False):
+                a, b, c, d = r.map
+                put = lambda x, y: (a * x + b * y + r.tx, c * x + d * y + r.ty)  # noqa: B023, E731
+                lx, ly = _bezier(r.xs, r.ys, np.linspace(0.0, 1.0, (CURVE_STEPS if r.kind else 1) + 1))
+                touched.append(np.flatnonzero(_gaps(*put(r.pts_x, r.pts_y), lx[:-1], ly[:-1], lx[1:], ly[1:]) <= tol) + 1)
+                alien = 0.0
+                if r.inside:
+                    n = max(2, int(np.ceil(np.hypot(np.diff(r.xs), np.diff(r.ys)).sum() / (tol / 2))) + 1)
+                    near = _gaps(*_bezier(r.xs, r.ys, np.linspace(0.0, 1.0, n)), *put(r.segs_ax, r.segs_ay), *put(r.segs_bx, r.segs_by)) <= tol
+                    if near.mean() < share:
+                        alien = float(np.hypot(np.diff(lx), np.diff(ly)).sum())
+                extra.append(alien)
+            yield pd.DataFrame({"page_id": pdf["page_id"], "pose_id": pdf["pose_id"], "idx": touched, "extra": extra})
+
+    return run
+
+
 def score_poses(poses: DataFrame, primitives: DataFrame, exemplars: DataFrame, threshold: float = 0.9, tol: float = TOLERANCE,
                 extra_match_fraction: float = 0.8) -> DataFrame:
     """Coverage times precision of every pose that reaches the threshold, with its box.
@@ -224,17 +269,13 @@ def score_poses(poses: DataFrame, primitives: DataFrame, exemplars: DataFrame, t
     j = materialize(j, "placed")
     zone = j.select("page_id", "pose_id", (F.col("bx0") - 2 * tol).alias("x0"), (F.col("by0") - 2 * tol).alias("y0"), (F.col("bx1") + 2 * tol).alias("x1"), (F.col("by1") + 2 * tol).alias("y1"))
     ids = materialize(box_join(zone, primitives.select("page_id", "prim_id", "x0", "y0", "x1", "y1")).select("page_id", "pose_id", "prim_id"), "near")
-    ink = primitives.select("page_id", "prim_id", flat_segments().alias("ink"), sample_points(tol / 2).alias("dots"), F.col("x0").alias("px0"), F.col("y0").alias("py0"), F.col("x1").alias("px1"), F.col("y1").alias("py1"))
-    w = ids.join(ink, ["page_id", "prim_id"]).join(j, ["page_id", "pose_id"])
-    placed = _place(F.col("pts"), s, tx, ty)
-    w = w.withColumn("placed", placed)
-    idx = F.filter(F.sequence(F.lit(1), F.size("placed")), lambda i: _touches(F.element_at("placed", i), F.col("ink"), tol))
-    ends = lambda a, b: _place(F.transform("segs", lambda g: F.struct(g[a].alias("x"), g[b].alias("y"))), s, tx, ty)
-    segs = F.zip_with(ends("ax", "ay"), ends("bx", "by"), lambda u, v: F.struct(u["x"].alias("ax"), u["y"].alias("ay"), v["x"].alias("bx"), v["y"].alias("by")))
+    ink = primitives.select("page_id", "prim_id", F.array(*_xs()).alias("xs"), F.array(*_ys()).alias("ys"), "kind", F.col("x0").alias("px0"), F.col("y0").alias("py0"), F.col("x1").alias("px1"), F.col("y1").alias("py1"))
+    w = spread(ids, "page_id", "prim_id").join(ink, ["page_id", "prim_id"]).join(j, ["page_id", "pose_id"])
     inside = (F.col("px0") >= F.col("bx0") - tol) & (F.col("py0") >= F.col("by0") - tol) & (F.col("px1") <= F.col("bx1") + tol) & (F.col("py1") <= F.col("by1") + tol)
-    own = F.size(F.filter("dots", lambda d: _touches(d, F.col("_segs"), tol))) / F.size("dots")
-    w = w.withColumn("_segs", segs).withColumn("extra", F.when(inside & (own < extra_match_fraction), flat_length(F.col("ink"))).otherwise(0.0))
-    w = materialize(w.select("page_id", "pose_id", idx.alias("idx"), "extra"), "contacts")
+    pick = [F.col(f"{c}.{k}").alias(f"{c}_{k}") for c, ks in (("pts", "xy"), ("segs", ("ax", "ay", "bx", "by"))) for k in ks]
+    w = w.select("page_id", "pose_id", *pick, F.array(*[v * s for v in m]).alias("map"), tx.alias("tx"), ty.alias("ty"), inside.alias("inside"), "xs", "ys", "kind")
+    pid = primitives.schema["page_id"].dataType.simpleString()
+    w = materialize(w.mapInPandas(_contact_kernel(tol, extra_match_fraction), f"page_id {pid}, pose_id bigint, idx array<int>, extra double"), "contacts")
     touched = w.select("page_id", "pose_id", F.explode("idx").alias("i")).distinct().groupBy("page_id", "pose_id").agg(F.count(F.lit(1)).alias("on"))
     extra = w.groupBy("page_id", "pose_id").agg(F.sum("extra").alias("extra"))
     out = j.join(touched, ["page_id", "pose_id"]).join(extra, ["page_id", "pose_id"]).withColumn("coverage", F.col("on") / F.size("pts"))
@@ -302,11 +343,11 @@ def ink_cells(primitives: DataFrame, boxes: DataFrame, grid: int = 16) -> DataFr
     from markset.operators.spatial import range_join
 
     near = range_join(boxes, primitives, center_only=True)
-    p = near.select("page_id", "box_id", "x0", "y0", "x1", "y1", F.explode(sample_points(1.0)).alias("p"))
+    p = explode_samples(near.select("page_id", "box_id", "x0", "y0", "x1", "y1", *CTRL), 1.0)
     w, h = F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-6)), F.greatest(F.col("y1") - F.col("y0"), F.lit(1e-6))
     s = F.greatest(w, h)
     cell = lambda v, lo, ext: F.least(F.greatest(((v - (lo - (s - ext) / 2)) / s * grid).cast("int"), F.lit(0)), F.lit(grid - 1))
-    return p.select("page_id", "box_id", cell(F.col("p.y"), F.col("y0"), h).alias("row"), cell(F.col("p.x"), F.col("x0"), w).alias("col")).distinct()
+    return p.select("page_id", "box_id", cell(F.col("py"), F.col("y0"), h).alias("row"), cell(F.col("px"), F.col("x0"), w).alias("col")).distinct()
 
 
 def resolve_spots(cands: DataFrame, has_text: DataFrame | None = None, same_spot: float = 0.5, margin: float = 0.05, raster_margin: float = 0.1) -> tuple[DataFrame, DataFrame]:
@@ -331,7 +372,7 @@ def resolve_spots(cands: DataFrame, has_text: DataFrame | None = None, same_spot
         short = F.least(a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1])
         return F.sqrt(dx * dx + dy * dy) < F.greatest(same_spot * short, F.lit(1.0))
 
-    spots = greedy_keep(reach, [(-F.col("score")).alias("o1"), F.col("oy").alias("o2"), F.col("ox").alias("o3")], near)
+    spots = greedy_keep(reach, [(-F.col("score")).alias("o1"), F.col("oy").alias("o2"), F.col("ox").alias("o3")], near, leaders=True)
     g = ok.join(spots.select("page_id", "box_id", "leader_id"), ["page_id", "box_id"])
     per = g.groupBy("page_id", "leader_id").agg(F.max("score").alias("best"), F.max(F.col("source") == "raster").alias("raster"))
     g = g.join(per, ["page_id", "leader_id"])

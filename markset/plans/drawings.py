@@ -19,8 +19,8 @@ CUB = "((1-t)*(1-t)*(1-t)*c0{a} + 3*(1-t)*(1-t)*t*c1{a} + 3*(1-t)*t*t*c2{a} + t*
     q AS (SELECT prim_id, {CUB.format(a='x')} AS x, {CUB.format(a='y')} AS y FROM p)
     SELECT prim_id, count(*) AS n, round(sum(x),3) AS sx, round(sum(y),3) AS sy FROM q GROUP BY 1""")
 def _(t):
-    p = t.fx_primitives.select("prim_id", F.explode(P.sample_points(2.0)).alias("p"))
-    return p.groupBy("prim_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p.x"), 3).alias("sx"), F.round(F.sum("p.y"), 3).alias("sy"))
+    p = P.explode_samples(t.fx_primitives, 2.0)
+    return p.groupBy("prim_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("px"), 3).alias("sx"), F.round(F.sum("py"), 3).alias("sy"))
 
 
 @query("segment_distances", "H10", FXS + """, s AS (SELECT symbol_id, cx, cy, prim_id, c0x AS ax, c0y AS ay, c3x-c0x AS ex, c3y-c0y AS ey FROM fx_symbols s JOIN fx_primitives p ON s.page_id=p.page_id AND CAST(floor(p.prim_id/10) AS BIGINT)=s.symbol_id WHERE kind=0),

@@ -52,3 +52,12 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *cols) -> DataFrame:
+    """Deal rows over all shuffle partitions before work that is heavy per row.
+
+    A fixed number of partitions is kept as asked: rows that are few but costly
+    would otherwise be merged into a single task by their size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
