@@ -359,7 +359,7 @@ def resolve_spots(cands: DataFrame, has_text: DataFrame | None = None, same_spot
     score a label wins, then detail, then score, then legend order.
     """
     texted = cands if has_text is None else cands.join(has_text.select("page_id").distinct().withColumn("_text", F.lit(True)), "page_id", "left")
-    on_page = F.lit(True) if has_text is None else F.coalesce("_text", F.lit(False))
+    on_page = F.lit(False) if has_text is None else F.coalesce("_text", F.lit(False))
     gate = ~(F.col("needs_label") & on_page & F.col("label").isNull())
     flagged = texted.withColumn("_ok", gate)
     ok = flagged.where("_ok")

@@ -16,9 +16,19 @@ from markset.operators.running import number_rows
 
 
 def _json(spark: SparkSession, path: str, schema: str, multiline: bool) -> tuple[DataFrame, DataFrame]:
-    df = (spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("_file", F.col("_metadata.file_path")))
-    return df.where("_corrupt_record IS NULL").drop("_corrupt_record"), df.where("_corrupt_record IS NOT NULL").select("_file", "_corrupt_record")
+    """Parsed documents and, apart from them, the text of those that cannot be parsed."""
+    raw = spark.read.text(path, wholetext=multiline).withColumn("_file", F.col("_metadata.file_path"))
+    doc = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    df = raw.select("_file", "value", doc.alias("doc"))
+    bad = F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull()
+    return (df.where(~bad).select("_file", "doc.*").drop("_corrupt_record"),
+            df.where(bad).select("_file", F.col("value").alias("_corrupt_record")))
+
+
+def _csv_bad(df: DataFrame, column: str) -> DataFrame:
+    """Unreadable rows. A parsed column is looked at as well: Spark refuses to read the
+    corrupt-record column alone."""
+    return df.where(F.col("_corrupt_record").isNotNull() & (F.length(F.coalesce(F.col(column).cast("string"), F.lit(""))) >= 0))
 
 
 def _page(doc: str = "document") -> list:
@@ -95,7 +105,7 @@ def read_points_csv(spark: SparkSession, path: str, scale: float = 1.0) -> dict[
            .withColumns({"x": F.col("x") * scale, "y": F.col("y") * scale}).drop("_nth"))
     same = good.groupBy(*page).agg(*[(F.min(c).eqNullSafe(F.max(c)) & ((F.count(c) == 0) | (F.count(c) == F.count(F.lit(1))))).alias(c) for c in ("version", "width", "height")])
     return {"points": pts.drop("_line"), "conflicts": same.where(~(F.col("version") & F.col("width") & F.col("height"))).select(*page),
-            "quarantine": df.where("_corrupt_record IS NOT NULL").select("_corrupt_record")}
+            "quarantine": _csv_bad(df, "x").select("_corrupt_record")}
 
 
 def adapt_scans(scans: DataFrame, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +126,7 @@ def read_ocr_tsv(spark: SparkSession, path: str, min_conf: float = 0.0) -> dict[
     good = df.where("_corrupt_record IS NULL AND level = 5").where((F.trim("text") != "") & (F.col("width") > 0) & (F.col("height") > 0) & (F.col("conf") >= min_conf))
     words = good.select("_file", "page_num", "block_num", "par_num", "line_num", F.col("word_num").alias("word_no"), F.trim("text").alias("text"), F.col("left").alias("x0"), F.col("top").alias("y0"),
                         (F.col("left") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"), F.col("conf").alias("confidence"))
-    return {"words": words, "quarantine": df.where("_corrupt_record IS NOT NULL").select("_file", "_corrupt_record")}
+    return {"words": words, "quarantine": _csv_bad(df, "level").select("_file", "_corrupt_record")}
 
 
 def read_legends(spark: SparkSession, path: str, multiline: bool = True) -> dict[str, DataFrame]:
