@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markset.functions.geometry import box_cols
+from markset.operators.running import dense_ids
 from markset.operators.spatial import present_levels, register_cells
 from markset.session import materialize
 
@@ -65,11 +66,15 @@ def greedy_keep(boxes: DataFrame, order: list[Column], conflict: Callable[[list[
     """
     page = list(page)
     edge = ["x0", "y0", "x1", "y1"]
-    ranked = boxes.select(F.struct(*page).alias("page_id"), "box_id", *edge, F.struct(*order, F.col("box_id").alias("_id")).alias("rank"))
+    keys = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    sheet = F.col(page[0]) if len(page) == 1 else F.struct(*page)
+    plain = boxes.select(sheet.alias("page_id"), "box_id", *edge, *keys)
+    # one number per box in the order asked for: cheap to compare, aggregate and join
+    ranked = dense_ids(plain, [f"_o{i}" for i in range(len(order))] + ["box_id", "page_id"], "rank").select("page_id", "box_id", *edge, "rank")
     spots = materialize(ranked.groupBy("page_id", *edge).agg(F.min("rank").alias("rank")), "spots")
     levels = present_levels(spots) or [0]
     cell = ["page_id", "_lv", "_gx", "_gy"]
-    undecided, rounds = spots.select("page_id", *edge, "rank"), []
+    undecided, rounds = spots, []
     for _ in range(MAX_ROUNDS):
         placed = register_cells(undecided, levels)
         best = placed.groupBy(*cell).agg(F.min("rank").alias("best_any"),
@@ -77,13 +82,13 @@ def greedy_keep(boxes: DataFrame, order: list[Column], conflict: Callable[[list[
         # A box must beat everything in cells of its own class, but only the
         # larger boxes at home there in the coarser classes it visits.
         rival = F.when(F.col("_own"), F.col("best_any")).otherwise(F.col("best_own"))
-        state = (placed.join(best, cell)
-                 .groupBy("page_id", *edge, "rank")
-                 .agg(F.min(F.coalesce(F.col("rank") <= rival, F.lit(True))).alias("kept")))
-        lost = _conflicting(state.where("kept").drop("kept"), state.where(~F.col("kept")).drop("kept"), levels, conflict)
-        done = materialize(state.join(lost.select("page_id", "rank", "leader"), ["page_id", "rank"], "left"), "greedy")
-        rounds.append(done.where(F.col("kept") | F.col("leader").isNotNull()))
-        undecided = done.where(~F.col("kept") & F.col("leader").isNull()).select("page_id", *edge, "rank")
+        wins = (placed.join(best, cell).groupBy("page_id", *edge, "rank")
+                .agg(F.min(F.coalesce(F.col("rank") <= rival, F.lit(True))).alias("kept")))
+        state = materialize(wins, "greedy")
+        lost = _conflicting(state.where("kept"), state.where(~F.col("kept")), levels, conflict)
+        done = materialize(state.where(~F.col("kept")).join(lost.select("rank", "leader"), "rank", "left"), "dropped")
+        rounds += [state.where("kept").withColumn("leader", F.col("rank")), done.where(F.col("leader").isNotNull()).select(*state.columns, "leader")]
+        undecided = done.where(F.col("leader").isNull()).select("page_id", *edge, "rank")
         if undecided.isEmpty():
             break
     else:
@@ -91,23 +96,24 @@ def greedy_keep(boxes: DataFrame, order: list[Column], conflict: Callable[[list[
     settled = rounds[0]
     for part in rounds[1:]:
         settled = settled.unionByName(part)
-    settled = settled.withColumn("leader", F.when(F.col("kept"), F.col("rank")).otherwise(F.col("leader")))
-    if leaders and len(rounds) > 1:
+    if leaders and len(rounds) > 2:
         # a box may also conflict with a better-ordered box that was kept in a later round
-        kept = settled.where("kept").select("page_id", *edge, "rank")
-        lost = _conflicting(kept, settled.where(~F.col("kept")).select("page_id", *edge, "rank"), levels, conflict)
+        lost = _conflicting(settled.where("kept"), settled.where(~F.col("kept")), levels, conflict)
         settled = settled.where("kept").select("page_id", *edge, "leader").unionByName(lost.select("page_id", *edge, "leader"))
-    lead = F.col("leader._id")
-    best = F.when(F.col("kept"), F.col("box_id") == lead).otherwise(F.lit(False)) if not leaders else F.col("box_id") == lead
-    out = ranked.drop("rank").join(settled.select("page_id", *edge, "leader", *([] if leaders else ["kept"])), ["page_id", *edge])
-    return out.select("page_id.*", "box_id", best.alias("kept"), *([lead.alias("leader_id")] if leaders else []))
+    out = ranked.join(settled.select("page_id", *edge, "leader"), ["page_id", *edge])
+    names = ["page_id"] if len(page) == 1 else ["page_id.*"]
+    out = out.withColumn("kept", F.col("rank") == F.col("leader"))
+    if leaders:
+        out = out.join(ranked.select(F.col("rank").alias("leader"), F.col("box_id").alias("leader_id")), "leader")
+    return out.select(*names, "box_id", "kept", *(["leader_id"] if leaders else [])).withColumnRenamed("page_id", page[0] if len(page) == 1 else "page_id")
 
 
 def _conflicting(kept: DataFrame, others: DataFrame, levels: list[int], conflict) -> DataFrame:
     """The other boxes that conflict with a kept one, with the best-ordered such ``leader``."""
-    a = register_cells(others, levels).withColumnRenamed("_own", "_own_a")
-    b = (register_cells(kept, levels).withColumnsRenamed(
+    cols = ["page_id", "x0", "y0", "x1", "y1", "rank"]
+    a = register_cells(others.select(*cols), levels).withColumnRenamed("_own", "_own_a")
+    b = (register_cells(kept.select(*cols), levels).withColumnsRenamed(
         {"x0": "rx0", "y0": "ry0", "x1": "rx1", "y1": "ry1", "_own": "_own_b", "rank": "leader"}))
     return (a.join(b, ["page_id", "_lv", "_gx", "_gy"]).where(F.col("_own_a") | F.col("_own_b"))
             .where(conflict(box_cols(), box_cols("r")))
-            .groupBy("page_id", "x0", "y0", "x1", "y1", "rank").agg(F.min("leader").alias("leader")))
+            .groupBy(*cols).agg(F.min("leader").alias("leader")))

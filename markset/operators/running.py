@@ -17,13 +17,14 @@ def running(df: DataFrame, by: list[str], order: str, aggs: dict[str, tuple[str,
             plain_limit: int = PLAIN_LIMIT) -> DataFrame:
     """Add running aggregates ``{out: ("sum" | "max", column)}`` over ``order`` within ``by``.
 
-    Rows must be aggregated to one per ``(by, order)``. A short input uses one
-    window per group. A long one is cut into value ranges: totals per range
+    Rows must be aggregated to one per ``(by, order)``. Short groups use one
+    window each. A long one is cut into value ranges: totals per range
     (at most ``RANGES`` rows a group) give each range its starting value, and
     the windows run inside the ranges.
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
+    # the longest group decides: a plain window holds one group per task
+    n = (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) if by else df.count()
     direction = F.col(order).desc() if descending else F.col(order).asc()
 
     def apply(frame, window, names):

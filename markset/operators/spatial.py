@@ -21,9 +21,10 @@ def _cells(df: DataFrame, x_lo: Column, x_hi: Column, y_lo: Column, y_hi: Column
               .withColumn("_gy", F.explode(F.sequence(F.floor(y_lo / size), F.floor(y_hi / size)))))
 
 
-def _level(side: Column) -> Column:
-    """Smallest power of two not below ``side`` (at least 1), as its exponent."""
-    return F.ceil(F.log2(F.greatest(side, F.lit(1.0)))).cast("int")
+def _level(side: Column, step: int = 2) -> Column:
+    """Size class: exponent of the smallest power of two not below ``side`` (at least 1),
+    rounded up to a multiple of ``step``. Coarser steps mean fewer classes to visit."""
+    return (F.ceil(F.log2(F.greatest(side, F.lit(1.0))) / step) * step).cast("int")
 
 
 def eligible_pairs(preds: DataFrame, refs: DataFrame, tolerance: float | None = None) -> DataFrame:
@@ -42,7 +43,7 @@ def eligible_pairs(preds: DataFrame, refs: DataFrame, tolerance: float | None =
         # Radii differ: each prediction uses the grid of its own size class and
         # references are placed on every size class present on their page.
         tol, keys = F.col("tol"), ["page_id", "_lv", "_gx", "_gy"]
-        left = preds.withColumn("_lv", _level(4 * tol))
+        left = preds.withColumn("_lv", _level(4 * tol, step=1))
         right = refs.join(left.select("page_id", "_lv").distinct(), "page_id")
         size = F.pow(F.lit(2.0), F.col("_lv"))
     left = _cells(left, F.col("x") - tol, F.col("x") + tol, F.col("y") - tol, F.col("y") + tol, size)
@@ -54,7 +55,7 @@ def eligible_pairs(preds: DataFrame, refs: DataFrame, tolerance: float | None =
 
 
 def present_levels(*frames: DataFrame) -> list[int]:
-    """Size classes of the boxes, at most one entry per power of two."""
+    """Size classes of the boxes, at most one entry per power of four."""
     found: set[int] = set()
     for df in frames:
         side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
