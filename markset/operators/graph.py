@@ -84,10 +84,12 @@ def greedy_keep(boxes: DataFrame, order: list[Column], conflict: Callable[[list[
         rival = F.when(F.col("_own"), F.col("best_any")).otherwise(F.col("best_own"))
         wins = (placed.join(best, cell).groupBy("page_id", *edge, "rank")
                 .agg(F.min(F.coalesce(F.col("rank") <= rival, F.lit(True))).alias("kept")))
-        state = materialize(wins, "greedy")
-        lost = _conflicting(state.where("kept"), state.where(~F.col("kept")), levels, conflict)
-        done = materialize(state.where(~F.col("kept")).join(lost.select("rank", "leader"), "rank", "left"), "dropped")
-        rounds += [state.where("kept").withColumn("leader", F.col("rank")), done.where(F.col("leader").isNotNull()).select(*state.columns, "leader")]
+        wins = wins.persist()
+        lost = _conflicting(wins.where("kept"), wins.where(~F.col("kept")), levels, conflict)
+        leader = F.when(F.col("kept"), F.col("rank")).otherwise(F.col("leader"))
+        done = materialize(wins.join(lost.select("rank", "leader"), "rank", "left").withColumn("leader", leader), "greedy")
+        wins.unpersist()
+        rounds.append(done.where(F.col("leader").isNotNull()))
         undecided = done.where(F.col("leader").isNull()).select("page_id", *edge, "rank")
         if undecided.isEmpty():
             break
@@ -96,7 +98,7 @@ def greedy_keep(boxes: DataFrame, order: list[Column], conflict: Callable[[list[
     settled = rounds[0]
     for part in rounds[1:]:
         settled = settled.unionByName(part)
-    if leaders and len(rounds) > 2:
+    if leaders and len(rounds) > 1:
         # a box may also conflict with a better-ordered box that was kept in a later round
         lost = _conflicting(settled.where("kept"), settled.where(~F.col("kept")), levels, conflict)
         settled = settled.where("kept").select("page_id", *edge, "leader").unionByName(lost.select("page_id", *edge, "leader"))
