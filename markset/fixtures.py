@@ -127,6 +127,11 @@ DERIVED: dict[str, str | tuple[str, str]] = {
         UNION ALL SELECT legend_id, -1, 'DESCRIPTION', 300.0, 40.0, 460.0, 60.0 FROM {fx_legend} GROUP BY legend_id
         UNION ALL SELECT legend_id, CAST(entry_no AS INT), CASE WHEN entry_no % 11 = 5 THEN upper(name) ELSE description END, 300.0 + entry_no % 3,
                80.0 + 28*(entry_no % 200), 320.0 + 9*length(description), 100.0 + 28*(entry_no % 200) FROM {fx_legend}""",
+    "fx_legend_ink": """
+        SELECT legend_id AS page_id, entry_no*2 AS prim_id, CAST(110 AS DOUBLE) AS x0, CAST(90 + 28*(entry_no % 200) AS DOUBLE) AS y0,
+               CAST(150 AS DOUBLE) AS x1, CAST(94 + 28*(entry_no % 200) AS DOUBLE) AS y1 FROM {fx_legend} WHERE entry_no % 4 <> 0
+        UNION ALL SELECT legend_id, entry_no*2+1, CAST(190 AS DOUBLE), CAST(88 + 28*(entry_no % 200) AS DOUBLE), CAST(220 AS DOUBLE),
+               CAST(96 + 28*(entry_no % 200) AS DOUBLE) FROM {fx_legend} WHERE entry_no % 4 <> 0 AND entry_no % 5 = 0""",
     "fx_page_text": """
         SELECT page_id, k*10+ln AS line_no, rf || ls || ' ' || CAST(ln AS VARCHAR(10)) AS text,
                CAST((k*7919 + ln*104729) % 3400 + k%60 - 30 AS DOUBLE) AS x0, CAST((k*6151 + pk*31 + ln*15485) % 2200 + pk%40 - 30 AS DOUBLE) AS y0,

@@ -172,6 +172,17 @@ def _(t):
     return L.legend_rows(_columns(t), ["page_id"], F.lit(300.0), F.lit(20.0)).select("page_id", "line_no", "kind", "row_no")
 
 
+@query("read_legend_entries", "K12 F4 E12 C5 E11 E16", cte("fx_legend_lines") + """, b AS (SELECT *, line_no % 4 <> 0 AS g, lag(y1) OVER w AS py FROM fx_legend_lines WHERE line_no >= 0 WINDOW w AS (PARTITION BY page_id ORDER BY y0, line_no)),
+    f AS (SELECT *, py IS NOT NULL AND NOT g AND (y0-py <= 0.9*20 OR x0 > 300+8) AS j, NOT g AND NOT contains(text,',') AND text=upper(text) AND len(string_split(text,' '))<=3 AS h,
+        py IS NOT NULL AND y0-py > 3.5*20 AND (y0-py > 240 OR NOT g) AS e FROM b),
+    k AS (SELECT *, coalesce(bool_or(h AND NOT j) OVER (PARTITION BY page_id ORDER BY y0, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS ins, bool_or(e) OVER (PARTITION BY page_id ORDER BY y0, line_no) AS ov FROM f),
+    r AS (SELECT *, CASE WHEN j AND NOT ins THEN 'wrap' WHEN h THEN 'section' ELSE 'row' END AS kind, last_value(CASE WHEN NOT (j AND NOT ins) THEN line_no END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY y0, line_no) AS row_no FROM k WHERE NOT ov)
+    SELECT page_id AS legend_id, row_no AS entry_no, row_no % 5 = 0 AS combined, count(*) > 1 AS wrapped FROM r WHERE kind <> 'section' AND row_no % 4 <> 0 GROUP BY page_id, row_no""")
+def _(t):
+    e = L.read_legend_entries(t.fx_legend_lines.withColumns({c: F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")}), t.fx_legend_ink)
+    return e.select("legend_id", "entry_no", F.array_contains("flags", "combined").alias("combined"), F.array_contains("flags", "wrapped").alias("wrapped"))
+
+
 @query("gap_clusters", "E11", cte("fx_words") + """, o AS (SELECT *, max(x1) OVER (PARTITION BY page_id, line_no ORDER BY x0, x1, word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM fx_words)
     SELECT page_id, line_no, word_no, CAST(sum(CASE WHEN r IS NULL OR x0 > r + 14 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, line_no ORDER BY x0, x1, word_no) AS BIGINT) AS cluster FROM o""")
 def _(t):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -147,11 +148,12 @@ def record_scans(target: str, completed: DataFrame | None = None):
 
 def _read_batches(spark, path: str, before: int) -> DataFrame | None:
     """Rows of the micro-batches before this one; folders of later attempts do not count."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    return spark.read.option("basePath", path).parquet(path).where(F.col("batch_id") < before)
+    try:
+        return spark.read.option("basePath", path).parquet(path).where(F.col("batch_id") < before)
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def run_to_end(df: DataFrame, path: str, mode: str = "append") -> None:
