@@ -207,3 +207,33 @@ def test_signature_similarity(spark):
 def test_check_split_moves(spark):
     a = spark.createDataFrame([(1, "d", "test"), (2, "d", "train"), (3, "d", "val"), (4, "e", "train"), (5, "e", "test")], "seq long, document_id string, split string")
     assert [(r["seq"], r["before"]) for r in reviews.check_split_moves(a).collect()] == [(2, "test")]
+
+
+def test_merge_rotations_equals_walk(spark):
+    from markset.operators.text import merge_rotations
+
+    rnd = random.Random(8)
+    rows = [(0, i, 90 * rnd.randrange(2), float(x := rnd.randint(0, 120)), float(y := rnd.randint(0, 60)), float(x + 30), float(y + 12), float(rnd.randint(1, 40))) for i in range(60)]
+
+    def share(a, b):
+        iw, ih = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+        return iw * ih / (30 * 12) if iw > 0 and ih > 0 else 0.0
+
+    kept = []
+    for w in sorted(rows, key=lambda r: (-r[7], r[2], r[1])):
+        if all(k[2] == w[2] or share(k, w) <= 0.4 for k in kept):
+            kept.append(w)
+    df = spark.createDataFrame(rows, "page_id long, word_id long, rotation int, x0 double, y0 double, x1 double, y1 double, evidence double")
+    assert {r["word_id"] for r in merge_rotations(df, 0.4).collect()} == {k[1] for k in kept}
+
+
+def test_symbol_signature_of_a_diagonal(spark):
+    from markset.operators.legend import cells_to_signature
+    from markset.operators.primitives import ink_cells
+
+    line = [(0, 1, 0, 0.0, 0.0, 5.0, 5.0, 11.0, 11.0, 15.9, 15.9, 0.0, 0.0, 15.9, 15.9)]
+    prim = spark.createDataFrame(line, "page_id long, prim_id long, kind int, c0x double, c0y double, c1x double, c1y double, c2x double, c2y double, c3x double, c3y double, x0 double, y0 double, x1 double, y1 double")
+    box = spark.createDataFrame([(0, 7, 0.0, 0.0, 16.0, 16.0)], "page_id long, box_id long, x0 double, y0 double, x1 double, y1 double")
+    sig = cells_to_signature(ink_cells(prim, box), ["page_id", "box_id"]).first()["signature"]
+    bits = bin(int(sig, 16))[2:].zfill(256)
+    assert len(sig) == 64 and {(i // 16, i % 16) for i, b in enumerate(bits) if b == "1"} == {(k, k) for k in range(16)}
