@@ -1,9 +1,9 @@
 """Personal data by information-theoretic sanitisation, with DataFrame functions only.
 
 Base matches (e-mail, IP, card, phone) are the protected entities. A context is the words
-around one within its line. Over the distinct contexts of the corpus and its distinct lines, the pointwise mutual information of a
-term with an entity, as a share of the entity's own information, says how much of the entity the term
-reveals: 1 where the term only ever occurs with the entity, 0 where the two are independent. In texts
+around one within its line. Over the distinct contexts and the lines of the corpus, the pointwise mutual
+information of a term with an entity, as a share of the entity's own information, says how much of the
+entity the term reveals: 1 where the term only ever occurs with the entity, 0 where the two are independent. In texts
 that hold the entity, terms at or above ``REMOVE`` are removed, those at or above ``GENERALISE`` are
 replaced by their kind, and base matches are replaced by theirs.
 """
@@ -22,8 +22,6 @@ SUPPORT = 3
 REMOVE, GENERALISE = 0.9, 0.6
 #: Words on either side of an entity that are its context, within its line.
 NEAR = 8
-#: Up to so many candidate terms go to every task; more of them are joined by a shuffle.
-SENT = 500_000
 #: Letters that a term must have.
 TERM_LETTERS = 3
 
@@ -113,9 +111,9 @@ def _terms(line: Column) -> Column:
 def disclosing_terms(held: DataFrame, docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """``(entity, term, share)`` of the terms that reveal an entity to ``least`` or more of its information.
 
-    ``held(text, base)`` are the texts with base matches, ``docs`` all of them. Copies of a context or line count once.
-    Joint counts come first: only terms that meet an entity in ``support`` distinct contexts are counted over
-    the lines of the whole corpus, and only their occurrences are shuffled where they are few enough to send.
+    ``held(text, base)`` are the texts with base matches, ``docs`` all of them. Copies of a context count once
+    in what an entity and a term share, every line counts in how common the term is; so copies never make a term
+    more telling. Each task adds up its own terms before anything is shuffled.
     """
     before = F.split(F.substring_index(F.expr("substring(text, 1, cast(m.start as int))"), "\n", -1), " ", -1)
     after = F.split(F.substring_index(F.expr("substring(text, cast(m.finish as int) + 1)"), "\n", 1), " ", -1)
@@ -126,12 +124,9 @@ def disclosing_terms(held: DataFrame, docs: DataFrame, support: int = SUPPORT, l
     often = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
     met = contexts.join(often, "entity").select("entity", "n_entity", F.explode(_terms(F.col("context"))).alias("term"))
     joint = stored(met.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= support), "joint")
-    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select("line", F.xxhash64("line").alias("line_key"))
-    wanted = stored(joint.select("term").distinct(), "terms")
-    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
-    spread = lines.select("line_key", F.explode(_terms(F.col("line"))).alias("term")).join(wanted, "term", "left_semi")
-    counts = spread.groupBy("term").agg(F.count_distinct("line_key").alias("n_term"))
-    total = lines.agg(F.count_distinct("line_key").alias("n"))  # one row
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    counts = lines.select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    total = docs.agg(F.sum(F.size(F.split("text", "\n", -1))).alias("n"))  # one row
     info = F.log(F.col("n") / F.col("n_entity"))
     mutual = F.log(F.col("n") * F.col("n_joint") / (F.col("n_entity") * F.greatest("n_term", "n_joint")))
     scored = joint.join(counts, "term").crossJoin(F.broadcast(total)).withColumn("share", F.when(info > 0, mutual / info).otherwise(0.0))
