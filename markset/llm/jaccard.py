@@ -8,8 +8,8 @@ in a whole block, and a list is keyed by a block's content; single shingles woul
 third of all documents share a list of that length. The boundary is where listing subsets costs more.
 
 Every pair that meets in a list is either compared exactly or already joined by compared pairs: first
-each member with the list's first one, then, once those links have become components, members of
-different components with each other. So copies and families of near copies cost one comparison a
+each set with one list's first member, then with the first members of its other lists where they are not
+in its component yet, then members of different components with each other. So copies and families of near copies cost one comparison a
 member and list, not all pairs.
 """
 
@@ -254,10 +254,15 @@ def join_components(docs: DataFrame) -> DataFrame:
     live = stored(lists.select("node").distinct().join(nodes, "node"), "live")
     sets = stored(_sets(docs, live), "sets")
     fits = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-    first = lists.where("node <> leader").select(F.col("leader").alias("src"), F.col("node").alias("dst")).distinct()
-    first = stored(_sized_pairs(first, live, fits), "pairs")
-    links = stored(_linked(first, sets), "links")
+    star = lists.where("node <> leader").groupBy(F.col("leader").alias("src"), F.col("node").alias("dst")).agg(F.count(F.lit(1)).alias("times"))
+    star = stored(_sized_pairs(star, live, fits), "star")
+    # first each set with the leader it meets in most lists; most families are one component after that
+    best = star.groupBy("dst").agg(F.max(F.struct("times", "src")).alias("_m")).select(F.col("_m.src").alias("src"), "dst")
+    links = stored(_linked(best, sets), "links")
     part = connected_components(links)
+    rest = _apart(star.select("src", "dst").join(best, ["src", "dst"], "left_anti"), part)
+    links = stored(_linked(rest, sets), "links")
+    part = connected_components(part.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(links))
     member = (live.select("node", "n").join(part, "node", "left")
               .select("node", "n", F.coalesce("component", "node").alias("component")))
     in_lists = lists.select("key", "node").join(member, "node")
@@ -266,7 +271,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     x, y = open_.alias("x"), open_.alias("y")
     cross = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")))
              .where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct())
-    more = stored(_linked(cross.join(first, ["src", "dst"], "left_anti"), sets), "more-links")
+    more = stored(_linked(cross.join(star, ["src", "dst"], "left_anti"), sets), "more-links")
     whole = connected_components(part.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
     least = whole.join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = nodes.join(whole, "node", "left").join(least, "component", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
@@ -276,7 +281,15 @@ def join_components(docs: DataFrame) -> DataFrame:
 def _sized_pairs(pairs: DataFrame, live: DataFrame, fits) -> DataFrame:
     a = live.select(F.col("node").alias("src"), F.col("n").alias("_n"))
     b = live.select(F.col("node").alias("dst"), F.col("n").alias("_m"))
-    return pairs.join(a, "src").join(b, "dst").where(fits(F.col("_n"), F.col("_m"))).select("src", "dst")
+    return pairs.join(a, "src").join(b, "dst").where(fits(F.col("_n"), F.col("_m"))).drop("_n", "_m")
+
+
+def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """Those of ``pairs(src, dst)`` whose ends are in different components."""
+    a = part.select(F.col("node").alias("src"), F.col("component").alias("_a"))
+    b = part.select(F.col("node").alias("dst"), F.col("component").alias("_b"))
+    both = pairs.join(a, "src", "left").join(b, "dst", "left")
+    return both.where(F.coalesce("_a", "src") != F.coalesce("_b", "dst")).select("src", "dst")
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
