@@ -9,7 +9,8 @@ third of all documents share a list of that length. The boundary is where listin
 
 Every pair that meets in a list is either compared exactly or already joined by compared pairs: first
 each set with one list's first member, then with the first members of its other lists where they are not
-in its component yet, then members of different components with each other. So copies and families of near copies cost one comparison a
+in its component yet, then members of different components with each other. Sketches of the sets rule
+most pairs that do not link out beforehand. So copies and families of near copies cost one comparison a
 member and list, not all pairs.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markset.llm.common import stored, table
@@ -34,6 +35,10 @@ SHINGLE = 5
 SCAN_COST = 4
 #: Sizes up to which subsets are considered at all.
 MOST_LIGHT = 16
+#: A sketch has two to this power bits at most.
+MOST_BITS = 14
+#: Members of a list that are compared with each other at a time.
+TOGETHER = 2048
 #: Up to so many ids of documents with candidates go to every task; more are joined by a shuffle.
 SENT = 2_000_000
 
@@ -95,11 +100,17 @@ def light_sizes(n: int, boundary: int) -> list[int]:
     return sorted({overlap(n + m) for m in partners(n) if m <= boundary}) if n <= boundary else []
 
 
-def list_keys(s: np.ndarray, boundary: int) -> np.ndarray:
-    """Keys of all lists that a set stands in. Two sets of up to ``boundary`` shingles meet in a subset, others in a block."""
+def list_keys(s: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all lists that a set stands in. Two sets of up to ``boundary`` shingles meet in a subset, others in a block.
+
+    Beside each key stands a tag: which cut it is of, above the number of that cut's lists that the set can do
+    without. Linked sets agree in more blocks than that, so they still meet when each leaves that many of its
+    longest lists.
+    """
     n = len(s)
     spread = _mix(s, 1)
     keys = [_mix(spread[_subsets(n, k)].sum(1, dtype=np.uint64), 2 + k) for k in light_sizes(n, boundary)]
+    tags = [np.zeros(len(k), np.int32) for k in keys]
     large = [m for m in partners(n) if n > boundary or m > boundary]
     for level, blocks, differ in _levels(range(large[0], large[-1] + 1), n) if large else []:
         while True:
@@ -108,10 +119,12 @@ def list_keys(s: np.ndarray, boundary: int) -> np.ndarray:
             sums = np.add.reduceat(spread, first) + block[first] * _MULTIPLIERS[1]
             keys.append(_mix(sums, (level + 1) << 40 | blocks))
             # linked sets agree in a block that isn't empty if either has more of those than can differ
+            spare = min(max(len(first) - differ - 1, 0), 0xFFFF)
+            tags.append(np.full(len(first), (level + 1) << 16 | spare, np.int32))
             if len(first) > differ:
                 break
             blocks *= 2
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    return (np.concatenate(keys), np.concatenate(tags)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
 def choose_boundary(histogram: dict[int, int]) -> int:
@@ -122,85 +135,111 @@ def choose_boundary(histogram: dict[int, int]) -> int:
     return min(range(MOST_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
 def _node(s: np.ndarray) -> int | None:
     """Number of a set: a hash of its content, null for the empty one."""
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Which ranges of hashes a set has members in, a bit each: about two ranges a shingle, a power of two."""
+    bits = min(max(6, math.ceil(math.log2(2 * max(len(s), 1)))), MOST_BITS)
+    mask = np.zeros(1 << bits, bool)
+    mask[s >> np.uint64(64 - bits)] = True
+    return np.packbits(mask).tobytes()
+
+
+def _words(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the coarsest among them."""
+    least = min(map(len, sketches))
+    rows = np.empty((len(sketches), least // 8), np.uint64)
+    for i, b in enumerate(sketches):
+        if len(b) > least:
+            b = np.packbits(np.unpackbits(np.frombuffer(b, np.uint8)).reshape(-1, len(b) // least).any(1)).tobytes()
+        rows[i] = np.frombuffer(b, np.uint64)
+    return rows
+
+
+def may_link(n: int | np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """False where sketches prove two sets apart: a range that only one of them is in has a shingle of its own."""
+    own = np.bitwise_count(x & ~y).sum(-1).astype(np.int64)
+    others = np.bitwise_count(y & ~x).sum(-1).astype(np.int64)
+    return 9 * np.minimum(n - own, m - others) >= 4 * (n + m)
+
+
 def set_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the node of its set for every row."""
+    """doc_id, n_shingles, the node of its set and the set's sketch for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = map(shingle_set, b.column(1).to_pylist())
-            n, node = zip(*((len(s), _node(s)) for s in sets), strict=True) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n_shingles", "node"])
+            n, node, mask = zip(*((len(s), _node(s), sketch(s)) for s in sets), strict=True) if b.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(mask, pa.binary())],
+                                             names=["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
 
 
 def _entries(docs: DataFrame, boundary: int) -> DataFrame:
-    """``(key, node)`` of every set and list. A task enters copies of a text once."""
+    """``(key, node, tag)`` of every set and list. A task enters copies of a text once."""
+    names = ["key", "node", "tag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int | None] = {None}
         for b in batches:
-            keys, nodes, held = [], [], 0
+            out, held = [], 0
             for t in b.column(0).to_pylist():
                 s = shingle_set(t)
                 node = _node(s)
                 if node in seen:
                     continue
                 seen.add(node)
-                k = list_keys(s, boundary)
-                keys.append(k)
-                nodes.append(np.full(len(k), node, np.int64))
+                k, tags = list_keys(s, boundary)
+                out.append((k.view(np.int64), np.full(len(k), node, np.int64), tags))
                 held += len(k)
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-                    keys, nodes, held = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
+                    out, held = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
-    return docs.select("text").mapInArrow(run, "key long, node long")
+    return docs.select("text").mapInArrow(run, "key long, node long, tag int")
 
 
-def _lists(entries: DataFrame) -> DataFrame:
-    """``(key, node, leader)`` of the lists with two sets or more; the leader is the list's least node.
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries of lists with two sets or more, once each.
 
     A partition is sorted by key and node and read as a stream, so a list may be of any length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = leader = last = None  # the open list's key, its first and its last node
-        shown = False  # whether its first node has been given out
+        held, other = None, False  # the last entry, not given out yet, and whether another of its list stands before
         for b in batches:
-            key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            new = np.append(key[:1] != at if at is not None else True, key[1:] != key[:-1])
-            again = ~new & np.append(node[:1] == last if at is not None else False, node[1:] == node[:-1])
-            starts = np.flatnonzero(new)
-            run_of = np.cumsum(new)  # 0: the list that the batch before left open
-            leaders = np.concatenate([[leader if leader is not None else 0], node[starts]])[run_of]
-            follows = ~new & ~again
-            has = np.zeros(len(starts) + 1, bool)
-            has[run_of[follows]] = True
-            first = np.zeros(len(key), bool)
-            first[starts] = has[1:]
-            out = first | follows
-            k, n, lead = key[out], node[out], leaders[out]
-            if has[0] and not shown:  # the open list's first node was alone so far
-                k, n, lead = np.append(k, at), np.append(n, leader), np.append(lead, leader)
-            if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(lead)], names=["key", "node", "leader"])
-            if len(key):
-                shown = bool(has[-1]) or (len(starts) == 0 and shown)
-                at, last, leader = key[-1], node[-1], leaders[-1]
-
-    return entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, leader long")
+            rows = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                rows = [np.append(h, c) for h, c in zip(held, rows, strict=True)]
+            key, node, _ = rows
+            if not len(key):
+                continue
+            once = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))  # tasks may have entered copies
+            rows = [c[once] for c in rows]
+            same = rows[0][1:] == rows[0][:-1]
+            before = np.append(other, same)
+            give = (before | np.append(same, False))[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][give]) for c in rows], names=["key", "node", "tag"])
+            held, other = [c[-1:] for c in rows], bool(before[-1])
+        if other:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["key", "node", "tag"])
+
+    return entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, tag int")
+
+
+def _lists(entries: DataFrame) -> DataFrame:
+    """``(key, node)`` of the lists that sets meet in: each set leaves its longest lists, as many as it can do without."""
+    shared = stored(_shared(entries), "entries")
+    length = shared.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
+    order = Window.partitionBy("node", "tag").orderBy(F.desc("length"), "key")
+    kept = shared.join(length, "key").withColumn("_r", F.row_number().over(order)).where(F.col("_r") > F.col("tag").bitwiseAND(0xFFFF))
+    return kept.select("key", "node").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -217,8 +256,11 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return some.mapInArrow(run, "node long, content binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs(src, dst)`` whose sets link, by exact comparison."""
+def _linked(pairs: DataFrame, live: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs(src, dst)`` whose sets link, by exact comparison, stored."""
+    pairs = stored(pairs, "pairs")
+    ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+    sets = stored(_sets(docs, live.select("node", "doc_id").join(ends, "node", "left_semi")), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,7 +276,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     a = sets.select(F.col("node").alias("src"), F.col("content").alias("_x"))
     b = sets.select(F.col("node").alias("dst"), F.col("content").alias("_y"))
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "_x", "_y").mapInArrow(run, "src long, dst long")
+    return stored(pairs.join(a, "src").join(b, "dst").select("src", "dst", "_x", "_y").mapInArrow(run, "src long, dst long"), "links")
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -249,39 +291,46 @@ def join_components(docs: DataFrame) -> DataFrame:
     sized = stored(set_sizes(docs), "sizes")
     histogram = {r["n_shingles"]: r["count"] for r in sized.where(F.col("n_shingles").between(1, MOST_LIGHT)).groupBy("n_shingles").count().collect()}
     lists = stored(_lists(_entries(docs, choose_boundary(histogram))), "lists")
-    nodes = sized.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    # the nodes that stand in lists, with their sets
-    live = stored(lists.select("node").distinct().join(nodes, "node"), "live")
-    sets = stored(_sets(docs, live), "sets")
-    fits = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-    star = lists.where("node <> leader").groupBy(F.col("leader").alias("src"), F.col("node").alias("dst")).agg(F.count(F.lit(1)).alias("times"))
-    star = stored(_sized_pairs(star, live, fits), "star")
+    nodes = sized.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    live = (sized.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node")
+            .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")))
+    live = stored(live, "live")
+    leaders = lists.groupBy("key").agg(F.min("node").alias("leader"))
+    met = lists.join(leaders, "key").where("node <> leader").groupBy(F.col("leader").alias("src"), F.col("node").alias("dst")).agg(F.count(F.lit(1)).alias("times"))
+    star = stored(_possible(met, live), "star")
     # first each set with the leader it meets in most lists; most families are one component after that
     best = star.groupBy("dst").agg(F.max(F.struct("times", "src")).alias("_m")).select(F.col("_m.src").alias("src"), "dst")
-    links = stored(_linked(best, sets), "links")
-    part = connected_components(links)
+    part = connected_components(_linked(best, live, docs))
     rest = _apart(star.select("src", "dst").join(best, ["src", "dst"], "left_anti"), part)
-    links = stored(_linked(rest, sets), "links")
-    part = connected_components(part.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(links))
-    member = (live.select("node", "n").join(part, "node", "left")
-              .select("node", "n", F.coalesce("component", "node").alias("component")))
-    in_lists = lists.select("key", "node").join(member, "node")
-    split = in_lists.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("key")
-    open_ = stored(in_lists.join(split, "key"), "open-lists")
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")))
-             .where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct())
-    more = stored(_linked(cross.join(star, ["src", "dst"], "left_anti"), sets), "more-links")
-    whole = connected_components(part.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
+    part = connected_components(_joined(part).unionByName(_linked(rest, live, docs)))
+    more = _across(lists, live, part).join(star, ["src", "dst"], "left_anti")
+    whole = connected_components(_joined(part).unionByName(_linked(more, live, docs)))
     least = whole.join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = nodes.join(whole, "node", "left").join(least, "component", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
     return sized.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sized_pairs(pairs: DataFrame, live: DataFrame, fits) -> DataFrame:
-    a = live.select(F.col("node").alias("src"), F.col("n").alias("_n"))
-    b = live.select(F.col("node").alias("dst"), F.col("n").alias("_m"))
-    return pairs.join(a, "src").join(b, "dst").where(fits(F.col("_n"), F.col("_m"))).drop("_n", "_m")
+def _joined(part: DataFrame) -> DataFrame:
+    return part.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+
+
+def _possible(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """Those of ``pairs(src, dst, times)`` that their sizes and sketches do not prove apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column(3).to_numpy(), b.column(4).to_numpy()
+            good = []
+            for i, (x, y) in enumerate(zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)):
+                w = _words([x, y])
+                good.append(bool(may_link(n[i], w[0], m[i], w[1])))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns[:3]], names=["src", "dst", "times"])
+
+    a = live.select(F.col("node").alias("src"), F.col("n").alias("_n"), F.col("sketch").alias("_x"))
+    b = live.select(F.col("node").alias("dst"), F.col("n").alias("_m"), F.col("sketch").alias("_y"))
+    both = pairs.join(a, "src").join(b, "dst").where(5 * F.least("_n", "_m") >= 4 * F.greatest("_n", "_m"))
+    return both.select("src", "dst", "times", "_n", "_m", "_x", "_y").mapInArrow(run, "src long, dst long, times long")
 
 
 def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
@@ -292,6 +341,58 @@ def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
     return both.where(F.coalesce("_a", "src") != F.coalesce("_b", "dst")).select("src", "dst")
 
 
+def _across(lists: DataFrame, live: DataFrame, part: DataFrame) -> DataFrame:
+    """Pairs ``(src, dst)`` of a list in different components that sizes and sketches do not prove apart.
+
+    A task reads one list at a time; a long list is dealt into chunks by hash, and two chunks meet at a time.
+    """
+    member = live.join(part, "node", "left").select("node", "n", "sketch", F.coalesce("component", "node").alias("component"))
+    within = lists.join(member.select("node", "component"), "node")
+    split = within.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("length")).where("_a <> _b")
+    open_ = lists.join(split.select("key", F.ceil(F.col("length") / TOGETHER).alias("chunks")), "key")
+    open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    dealt = open_.withColumn("_o", other).select("key", "node", "chunk", F.least("chunk", "_o").alias("low"), F.greatest("chunk", "_o").alias("high")).join(member, "node")
+    columns = ["key", "low", "high", "node", "chunk", "n", "component", "sketch"]
+
+    def pairs(rows: dict[str, np.ndarray], sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words, n, comp, node, chunk = _words(sketches), rows["n"], rows["component"], rows["node"], rows["chunk"]
+        two, src, dst = rows["low"][0] != rows["high"][0], [], []
+        for i in range(len(node) - 1):
+            later = slice(i + 1, None)
+            ok = (comp[later] != comp[i]) & (5 * np.minimum(n[i], n[later]) >= 4 * np.maximum(n[i], n[later]))
+            if two:  # pairs within a chunk meet where it stands alone
+                ok &= chunk[later] != chunk[i]
+            at = np.flatnonzero(ok) + i + 1
+            at = at[may_link(n[i], words[i], n[at], words[at])]
+            src.append(np.minimum(node[i], node[at]))
+            dst.append(np.maximum(node[i], node[at]))
+        return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64),) * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(group: pa.Table) -> pa.RecordBatch:
+            rows = {c: group.column(c).to_numpy() for c in columns[:-1]}
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(rows, group.column("sketch").to_pylist())], names=["src", "dst"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b])
+            keys = np.stack([t.column(c).to_numpy() for c in columns[:3]])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1)]
+            for a, z in zip(starts, starts[1:], strict=False):
+                if z - a > 1:
+                    yield flush(t.slice(a, z - a))
+            held = t.slice(starts[-1]).to_batches()
+        if held:
+            yield flush(pa.Table.from_batches(held))
+
+    sorted_ = dealt.select(*columns).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return sorted_.mapInArrow(run, "src long, dst long").distinct()
+
+
 def one_per_component(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: of the rows with its id, the one that comes first by text.
 
