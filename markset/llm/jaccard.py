@@ -394,14 +394,20 @@ def _across(lists: DataFrame, live: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: of the rows with its id, the one that comes first by text.
+    """``docs`` without the documents whose component has one of smaller id; all columns are kept.
 
-    Rows without shingles stay, one for each id and text. All columns are kept.
+    Rows that share an id are one document: it goes only if none of them leads its component, and where it stays
+    one row of each text stays. Documents without shingles stay.
     """
-    found = join_components(docs).select(F.col("doc_id").alias("_id"), "component_id", "n_shingles").distinct()
-    first = found.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = join_components(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("leads"), F.count(F.lit(1)).alias("rows"))
+    found = stored(found.where("leads = 0 or rows > 1"), "not-leading")
+    gone = found.where("leads = 0").select(F.col("doc_id").alias("_id"))
+    again = found.where("leads = 1 and rows > 1").select(F.col("doc_id").alias("_id"))
+    gone, again = (F.broadcast(x) if x.count() <= SENT else x for x in (gone, again))
+    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    twice = kept.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(twice)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
