@@ -36,7 +36,7 @@ SCAN_COST = 4
 #: Sizes up to which subsets are considered at all.
 MOST_LIGHT = 16
 #: A sketch has two to this power bits at most.
-MOST_BITS = 14
+MOST_BITS = 16
 #: Members of a list that are compared with each other at a time.
 TOGETHER = 2048
 #: Up to so many ids of documents with candidates go to every task; more are joined by a shuffle.
@@ -141,26 +141,26 @@ def _node(s: np.ndarray) -> int | None:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Which ranges of hashes a set has members in, a bit each: about two ranges a shingle, a power of two."""
-    bits = min(max(6, math.ceil(math.log2(2 * max(len(s), 1)))), MOST_BITS)
+    """Which of some buckets of hashes a set has members in, a bit each: eight or more buckets a shingle, a power of two."""
+    bits = min(max(8, math.ceil(math.log2(8 * max(len(s), 1)))), MOST_BITS)
     mask = np.zeros(1 << bits, bool)
-    mask[s >> np.uint64(64 - bits)] = True
+    mask[s & np.uint64((1 << bits) - 1)] = True
     return np.packbits(mask).tobytes()
 
 
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of fewer buckets, ``width`` words a row."""
+    return np.bitwise_or.reduce(words.reshape(len(words), -1, width), axis=1)
+
+
 def _words(sketches: list[bytes]) -> np.ndarray:
     """Sketches as rows of 64-bit words, all folded to the coarsest among them."""
-    least = min(map(len, sketches))
-    rows = np.empty((len(sketches), least // 8), np.uint64)
-    for i, b in enumerate(sketches):
-        if len(b) > least:
-            b = np.packbits(np.unpackbits(np.frombuffer(b, np.uint8)).reshape(-1, len(b) // least).any(1)).tobytes()
-        rows[i] = np.frombuffer(b, np.uint64)
-    return rows
+    least = min(map(len, sketches)) // 8
+    return np.concatenate([_folded(np.frombuffer(b, np.uint64)[None, :], least) for b in sketches])
 
 
 def may_link(n: int | np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """False where sketches prove two sets apart: a range that only one of them is in has a shingle of its own."""
+    """False where sketches prove two sets apart: a bucket that only one of them is in has a shingle of its own."""
     own = np.bitwise_count(x & ~y).sum(-1).astype(np.int64)
     others = np.bitwise_count(y & ~x).sum(-1).astype(np.int64)
     return 9 * np.minimum(n - own, m - others) >= 4 * (n + m)
@@ -357,6 +357,7 @@ def _across(lists: DataFrame, live: DataFrame, part: DataFrame) -> DataFrame:
 
     def pairs(rows: dict[str, np.ndarray], sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         words, n, comp, node, chunk = _words(sketches), rows["n"], rows["component"], rows["node"], rows["chunk"]
+        coarse = _folded(words, max(words.shape[1] // 8, 1))
         two, src, dst = rows["low"][0] != rows["high"][0], [], []
         for i in range(len(node) - 1):
             later = slice(i + 1, None)
@@ -364,7 +365,8 @@ def _across(lists: DataFrame, live: DataFrame, part: DataFrame) -> DataFrame:
             if two:  # pairs within a chunk meet where it stands alone
                 ok &= chunk[later] != chunk[i]
             at = np.flatnonzero(ok) + i + 1
-            at = at[may_link(n[i], words[i], n[at], words[at])]
+            for w in (coarse, words):
+                at = at[may_link(n[i], w[i], n[at], w[at])]
             src.append(np.minimum(node[i], node[at]))
             dst.append(np.maximum(node[i], node[at]))
         return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64),) * 2
