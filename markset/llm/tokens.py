@@ -13,8 +13,8 @@ import numpy as np
 
 #: Distinct cuts a worker remembers; later new ones are encoded where they occur.
 REMEMBERED = 300_000
-#: Characters of text handled at a time.
-STEP_CHARS = 2_000_000
+#: Characters of text handled, and new cuts given to the library, at a time.
+STEP_CHARS, AT_ONCE = 1_000_000, 2_000
 
 
 class TokenIds:
@@ -47,7 +47,10 @@ class TokenIds:
     def _learn(self, keys: list[str]) -> dict[str, int]:
         """Append the ids of distinct new cuts to the pool. A text's first cut has a key of a space and
         itself, any other cut, which a space precedes, is its own key."""
-        got = [e.ids for e in self.library.encode_batch_fast([k[1:] if k[:1] == " " else " " + k for k in keys], add_special_tokens=False)]
+        got = []
+        for some in itertools.batched(keys, AT_ONCE):  # the library's results are large until their ids are taken
+            cuts = [k[1:] if k[:1] == " " else " " + k for k in some]
+            got += [e.ids for e in self.library.encode_batch_fast(cuts, add_special_tokens=False)]
         lens = np.fromiter(map(len, got), np.int64, len(got))
         start, number = self.n, len(self.lens)
         self.n += int(lens.sum())
