@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Distinct cuts a worker remembers; later new ones are encoded where they occur.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Characters of text handled, and new cuts given to the library, at a time.
 STEP_CHARS, AT_ONCE = 1_000_000, 2_000
 
