@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markset.functions import medoids as M
 from markset.operators.running import percentiles
 
 
@@ -50,6 +49,19 @@ def sample_background(scores: DataFrame, id_col: str, n: int = 4096, exclude_abo
     return below.drop("cut", "low").orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(n)
 
 
+def monotone_fit(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted least-squares fit that never falls: the slopes of the largest convex curve under the running sums.
+    A corner on or above the line between its neighbours is not on that curve, so all such corners go at once."""
+    x, s = (np.append(0.0, np.cumsum(v)) for v in (w, w * y))
+    corners = np.arange(len(x))
+    while True:
+        slope = np.diff(s[corners]) / np.diff(x[corners])
+        bent = slope[1:] > slope[:-1] + 1e-12
+        if bent.all():
+            return np.repeat(slope, np.diff(corners))
+        corners = corners[np.concatenate([[True], bent, [True]])]
+
+
 def isotonic_fit(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Monotone map from score to the share of positives, one row per distinct score.
 
@@ -61,7 +73,7 @@ def isotonic_fit(pairs: DataFrame, by: list[str]) -> DataFrame:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score", ignore_index=True)
-        return pdf[[*by, "score"]].assign(fitted=M.isotonic(pdf["mean"].to_numpy(), pdf["weight"].to_numpy()))
+        return pdf[[*by, "score"]].assign(fitted=monotone_fit(pdf["mean"].to_numpy(), pdf["weight"].to_numpy()))
 
     return pooled.groupBy(*by).applyInPandas(fit, f"{types}, score double, fitted double")
 

@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markset.functions import medoids as M
 from markset.functions import text as T
 from markset.operators import calibrate, legend, reviews, vectors
 from markset.operators.graph import greedy_keep
@@ -110,15 +109,36 @@ def unit_vectors(n, d=8, seed=0):
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def test_k_medoids_rounds_equal_one_task(spark):
+def test_k_medoids_settles_on_central_medoids(spark):
     rows = [(g, i + 100 * g, [float(x) for x in v]) for g in range(2) for i, v in enumerate(unit_vectors(40, seed=g))]
     df = spark.createDataFrame(rows, "grp long, id long, vec array<double>")
     key = lambda out: {(r["grp"], r["id"]): r["medoid_id"] for r in out.collect()}
-    small = key(vectors.k_medoids(df, 3))
-    assert small == key(vectors.k_medoids(df.repartition(5), 3, small_group=10))
-    u = np.array([r[2] for r in rows if r[0] == 0])
-    _, owner = M.k_medoids(u, 3)
-    assert [small[0, i] for i in range(40)] == owner.tolist()
+    got = key(vectors.k_medoids(df, 3))
+    assert got == key(vectors.k_medoids(df.repartition(5), 3)) and len(got) == 80
+    vec = {(g, i): np.array(v) for g, i, v in rows}
+    for g in range(2):
+        medoids = {m for (h, _), m in got.items() if h == g}
+        assert len(medoids) == 3
+        for i in range(100 * g, 100 * g + 40):
+            assert vec[g, i] @ vec[g, got[g, i]] >= max(vec[g, i] @ vec[g, m] for m in medoids) - 1e-9
+        for m in medoids:
+            mine = [i for (h, i), n in got.items() if h == g and n == m]
+            gain = {i: sum(vec[g, i] @ vec[g, j] for j in mine) for i in mine}
+            assert m in mine and gain[m] >= max(gain.values()) - 1e-9
+
+
+def test_k_medoids_refuses_to_stop_early(spark):
+    rows = [(0, i, [float(x) for x in v]) for i, v in enumerate(unit_vectors(40, seed=1))]
+    with pytest.raises(RuntimeError, match="settle"):
+        vectors.k_medoids(spark.createDataFrame(rows, "grp long, id long, vec array<double>"), 3, max_rounds=0)
+
+
+def test_monotone_fit_is_the_best_rising_fit():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 40):
+        y, w = rng.integers(0, 3, n) / 2, rng.integers(1, 5, n).astype(float)
+        want = [max(min(np.average(y[j:k + 1], weights=w[j:k + 1]) for k in range(i, n)) for j in range(i + 1)) for i in range(n)]
+        assert np.allclose(calibrate.monotone_fit(y, w), want)
 
 
 def test_template_bank_covers_every_member(spark):
