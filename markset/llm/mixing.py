@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markset.llm.common import WORD, stored, table, whole_text
+from markset.llm.common import WORD, shuffle_partitions, stored, table, whole_text
 from markset.operators.running import dense_ids
 
 WEIGHTS = (3, 1, 2)
@@ -118,13 +118,14 @@ def _flights(pdf: pd.DataFrame) -> pd.DataFrame:
 def sample_units(units: DataFrame, block: int = BLOCK) -> DataFrame:
     """``units(source_no, unit, doc_id, size, p)`` with every ``p`` settled to 0 or 1.
 
-    The number of open units falls by about ``block / 2`` a round.
+    The number of open units falls by about ``block / 2`` a round. Units meet their source's count by
+    source and salt, so that a hot source is spread and its blocks are flown in different tasks.
     """
-    done = []
+    done, salts = [], shuffle_partitions(units.sparkSession)
     while True:
-        blocks = units.groupBy("source_no").agg(F.count(F.lit(1)).alias("_n"))
+        blocks = units.groupBy("source_no").agg(F.count(F.lit(1)).alias("_n")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         # what fits one block is a source's last flight, and lands
-        dealt = (units.join(blocks, "source_no")
+        dealt = (units.withColumn("_salt", F.pmod(F.xxhash64("unit"), F.lit(salts)).cast("int")).join(blocks, ["source_no", "_salt"]).drop("_salt")
                  .withColumn("_block", F.pmod(F.xxhash64("unit", F.lit(len(done))), F.ceil(F.col("_n") / block)))
                  .withColumn("lands", F.col("_n") <= block))
         flown = stored(dealt.groupBy("source_no", "_block").applyInPandas(_flights, _UNIT), "flight")
