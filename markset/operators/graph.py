@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markset.functions.geometry import box_cols
 from markset.operators.running import dense_ids
-from markset.operators.spatial import present_levels, register_cells
+from markset.operators.spatial import MEETING, meeting_cells, present_levels, register_cells
 from markset.session import materialize
 
-MAX_ROUNDS = 200
+#: Rounds of greedy selection over all that is undecided; what waits longer is walked.
+GREEDY_ROUNDS = 8
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = (edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
          .where(F.col("u") != F.col("v")).distinct())
     e = materialize(e, "edges")  # a round reads its edges several times
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round but the last lowers a parent, so it ends
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where(F.col("v") > F.col("u")).join(low, "u")
@@ -37,7 +39,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if _is_star_forest(e):
             return (e.select(F.col("u").alias("node"), F.col("v").alias("component"))
                     .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def _is_star_forest(e: DataFrame) -> bool:
@@ -62,7 +63,8 @@ def greedy_keep(boxes: DataFrame, order: list[Column], conflict: Callable[[list[
 
     Copies of one box collapse to their best first. Each round then keeps every
     box that no undecided box sharing a cell can beat and drops what conflicts
-    with it, so a crowd of near copies costs rounds, never all its pairs.
+    with it, so a crowd of near copies costs rounds, never all its pairs. Boxes that
+    still wait after some rounds stand in long chains; their conflicts are walked.
     """
     page = list(page)
     edge = ["x0", "y0", "x1", "y1"]
@@ -75,7 +77,7 @@ def greedy_keep(boxes: DataFrame, order: list[Column], conflict: Callable[[list[
     levels = present_levels(spots) or [0]
     cell = ["page_id", "_lv", "_gx", "_gy"]
     undecided, rounds = spots, []
-    for _ in range(MAX_ROUNDS):
+    for _ in range(GREEDY_ROUNDS):
         placed = register_cells(undecided, levels)
         best = placed.groupBy(*cell).agg(F.min("rank").alias("best_any"),
                                          F.min(F.when(F.col("_own"), F.col("rank"))).alias("best_own"))
@@ -94,7 +96,7 @@ def greedy_keep(boxes: DataFrame, order: list[Column], conflict: Callable[[list[
         if undecided.isEmpty():
             break
     else:
-        raise RuntimeError(f"greedy selection did not settle in {MAX_ROUNDS} rounds")
+        rounds.append(materialize(_walked(undecided, levels, conflict), "walked"))
     settled = rounds[0]
     for part in rounds[1:]:
         settled = settled.unionByName(part)
@@ -110,12 +112,49 @@ def greedy_keep(boxes: DataFrame, order: list[Column], conflict: Callable[[list[
     return out.select(*names, "box_id", "kept", *(["leader_id"] if leaders else [])).withColumnRenamed("page_id", page[0] if len(page) == 1 else "page_id")
 
 
+_SPOT = ["page_id", "x0", "y0", "x1", "y1", "rank"]
+
+
+def _conflicts(others: DataFrame, leaders: DataFrame, levels: list[int], conflict) -> DataFrame:
+    """Each of ``others`` with the rank of every one of ``leaders`` that it conflicts with, once a shared cell."""
+    a, b = meeting_cells(others.select(*_SPOT), leaders.select(*_SPOT).withColumnRenamed("rank", "leader"), levels)
+    return a.join(b, MEETING).where(conflict(box_cols(), box_cols("r")))
+
+
 def _conflicting(kept: DataFrame, others: DataFrame, levels: list[int], conflict) -> DataFrame:
     """The other boxes that conflict with a kept one, with the best-ordered such ``leader``."""
-    cols = ["page_id", "x0", "y0", "x1", "y1", "rank"]
-    a = register_cells(others.select(*cols), levels).withColumnRenamed("_own", "_own_a")
-    b = (register_cells(kept.select(*cols), levels).withColumnsRenamed(
-        {"x0": "rx0", "y0": "ry0", "x1": "rx1", "y1": "ry1", "_own": "_own_b", "rank": "leader"}))
-    return (a.join(b, ["page_id", "_lv", "_gx", "_gy"]).where(F.col("_own_a") | F.col("_own_b"))
-            .where(conflict(box_cols(), box_cols("r")))
-            .groupBy(*cols).agg(F.min("leader").alias("leader")))
+    return _conflicts(others, kept, levels, conflict).groupBy(*_SPOT).agg(F.min("leader").alias("leader"))
+
+
+def _walked(boxes: DataFrame, levels: list[int], conflict) -> DataFrame:
+    """``boxes`` with ``kept`` and ``leader``: each component of conflicts is walked in order.
+
+    The conflicts of a component are read as a stream sorted by rank; only the ranks kept so far are held.
+    """
+    pairs = _conflicts(boxes, boxes, levels, conflict).where(F.col("leader") < F.col("rank")).select("rank", "leader").distinct()
+    pairs = materialize(pairs, "conflicts")
+    part = connected_components(pairs.select(F.col("leader").alias("src"), F.col("rank").alias("dst")))
+    own = boxes.select("rank", F.col("rank").alias("leader"))  # sorts behind a box's better ones
+    rows = pairs.unionByName(own).join(part.select(F.col("node").alias("rank"), "component"), "rank", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "rank"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, kept, best = None, set(), None
+        for f in frames:
+            ranks, leaders = [], []
+            for component, rank, other in zip(f["component"], f["rank"], f["leader"], strict=True):
+                if component != at:
+                    at, kept, best = component, set(), None
+                if other == rank:
+                    if best is None:
+                        kept.add(rank)
+                    ranks.append(rank)
+                    leaders.append(rank if best is None else best)
+                    best = None
+                elif best is None and other in kept:
+                    best = other
+            yield pd.DataFrame({"rank": ranks, "leader": leaders}, dtype="int64")
+
+    order = ["component", "rank", "leader"]
+    done = rows.select(*order).repartition("component").sortWithinPartitions(*order).mapInPandas(run, "rank long, leader long")
+    return boxes.select(*_SPOT).join(done, "rank").withColumn("kept", F.col("rank") == F.col("leader"))

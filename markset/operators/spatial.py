@@ -76,6 +76,25 @@ def register_cells(df: DataFrame, levels: list[int], box: str = "") -> DataFrame
     return _cells(out, x0, x1, y0, y1, F.pow(F.lit(2.0), F.col("_lv")))
 
 
+#: Where two boxes meet, by ``meeting_cells``: page, class, cell, and which of them are at home there.
+MEETING = ["page_id", "_lv", "_gx", "_gy", "_home"]
+_BOTH, _LEFT, _RIGHT = 0, 1, 2
+
+
+def meeting_cells(left: DataFrame, right: DataFrame, levels: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Both sides placed for a join on ``MEETING``: boxes meet in the class of the larger one only.
+
+    Small boxes that visit a coarse cell meet the boxes at home there, never each other, so one
+    sheet-sized box doesn't make pairs of all the others.
+    """
+
+    def placed(df: DataFrame, mine: int, theirs: int) -> DataFrame:
+        home = F.when(F.col("_own"), F.array(F.lit(_BOTH), F.lit(mine))).otherwise(F.array(F.lit(theirs)))
+        return register_cells(df, levels).withColumn("_home", F.explode(home)).drop("_own")
+
+    return placed(left, _LEFT, _RIGHT), placed(right, _RIGHT, _LEFT).withColumnsRenamed({"x0": "rx0", "y0": "ry0", "x1": "rx1", "y1": "ry1"})
+
+
 def box_join(left: DataFrame, right: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """Pairs of boxes of a page that touch or overlap, each once.
 
@@ -84,20 +103,15 @@ def box_join(left: DataFrame, right: DataFrame, levels: list[int] | None = None)
     """
     if levels is None:
         levels = present_levels(left, right)
-    if not levels:
-        levels = [0]
-    a = register_cells(left, levels).withColumnRenamed("_own", "_own_a")
-    b = register_cells(right, levels).withColumnsRenamed(
-        {"x0": "rx0", "y0": "ry0", "x1": "rx1", "y1": "ry1", "_own": "_own_b"})
+    a, b = meeting_cells(left, right, levels or [0])
     size = F.pow(F.lit(2.0), F.col("_lv"))
-    return (a.join(b, ["page_id", "_lv", "_gx", "_gy"])
-            .where(F.col("_own_a") | F.col("_own_b"))
+    return (a.join(b, MEETING)
             .where((F.col("x0") <= F.col("rx1")) & (F.col("x1") >= F.col("rx0"))
                    & (F.col("y0") <= F.col("ry1")) & (F.col("y1") >= F.col("ry0")))
             # the cell holding the corner where the overlap starts reports the pair
             .where((F.col("_gx") == F.floor(F.greatest("x0", "rx0") / size))
                    & (F.col("_gy") == F.floor(F.greatest("y0", "ry0") / size)))
-            .drop("_lv", "_gx", "_gy", "_own_a", "_own_b"))
+            .drop("_lv", "_gx", "_gy", "_home"))
 
 
 def conflict_test(iou_threshold: float | None, center_ratio: float) -> Callable[[list[Column], list[Column]], Column]:

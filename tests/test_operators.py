@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from markset.functions import text as T
-from markset.operators import calibrate, legend, reviews, vectors
+from markset.operators import calibrate, graph, legend, reviews, vectors
 from markset.operators.graph import greedy_keep
 from markset.operators.primitives import resolve_spots
 from markset.operators.running import dense_ids, percentiles, previous, running, spread_rank
-from markset.operators.spatial import box_conflicts, conflict_test
+from markset.operators.spatial import MEETING, box_conflicts, conflict_test, meeting_cells
 
 
 def boxes(seed, n=220, pages=3, span=260, copies=False):
@@ -56,6 +56,25 @@ def test_greedy_keep_equals_walk(spark, seed, copies):
     assert {r["box_id"]: r["leader_id"] for r in got} == leader
 
 
+def test_greedy_keep_walks_what_rounds_leave(spark, monkeypatch):
+    monkeypatch.setattr(graph, "GREEDY_ROUNDS", 1)
+    rows = boxes(5) + [(7, 1000 + i, 10.0 * i, 0.0, 10.0 * i + 20, 20.0, 0.9) for i in range(300)]  # each box meets the next
+    want, leader = walk(rows, lambda a, b: duplicate(a, b, 0.3, 0.5))
+    got = greedy_keep(spark.createDataFrame(rows, SCHEMA), ORDER(), conflict_test(0.3, 0.5), leaders=True).collect()
+    assert len(got) == len(rows)
+    assert {r["box_id"] for r in got if r["kept"]} == want
+    assert {r["box_id"]: r["leader_id"] for r in got} == leader
+
+
+def test_a_sheet_sized_box_makes_no_pairs_of_others(spark):
+    rows = [(0, i, 30.0 * (i % 50), 30.0 * (i // 50), 30.0 * (i % 50) + 10, 30.0 * (i // 50) + 10, 0.5) for i in range(2000)]
+    df = spark.createDataFrame([*rows, (0, 9999, 0.0, 0.0, 1500.0, 1500.0, 0.5)], SCHEMA).select("page_id", "box_id", "x0", "y0", "x1", "y1")
+    a, b = meeting_cells(df, df.withColumnRenamed("box_id", "other"), [4, 12])
+    met = a.join(b, MEETING)
+    assert 2000 * 2 < met.count() < 2000 * 20
+    assert met.where("box_id = 9999 and other <> 9999").select("other").distinct().count() == 2000
+
+
 def test_box_conflicts_equal_all_pairs(spark):
     rows = boxes(4)
     got = {(r["a_id"], r["b_id"]) for r in box_conflicts(spark.createDataFrame(rows, SCHEMA), 0.2, 0.5).collect()}
