@@ -1,16 +1,17 @@
 """Personal data by information-theoretic sanitisation, with DataFrame functions only.
 
-Base matches (e-mail, IP, card, phone) are the protected entities. A context is the words
-around one within its line. Over the distinct contexts and the lines of the corpus, the pointwise mutual
-information of a term with an entity, as a share of the entity's own information, says how much of the
-entity the term reveals: 1 where the term only ever occurs with the entity, 0 where the two are independent. In texts
-that hold the entity, terms at or above ``REMOVE`` are removed, those at or above ``GENERALISE`` are
-replaced by their kind, and base matches are replaced by theirs.
+Base matches (e-mail, IP, card, phone) are the protected entities. A context is a line that holds one.
+Over the distinct contexts and the lines of the corpus, the pointwise mutual information of a term with an entity, as a
+share of the entity's own information, says how much of the entity the term reveals: 1 where the term only
+ever occurs with the entity, 0 where the two are independent. In texts that hold the entity, terms at or
+above ``REMOVE`` are removed, those at or above ``GENERALISE`` are replaced by their kind, and base matches
+are replaced by theirs.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,6 @@ from markset.llm.common import stored, table, whole_text
 #: Distinct contexts in which an entity and a term must meet before their information is trusted.
 SUPPORT = 3
 REMOVE, GENERALISE = 0.9, 0.6
-#: Words on either side of an entity that are its context, within its line.
-NEAR = 8
 #: Letters that a term must have.
 TERM_LETTERS = 3
 
@@ -111,18 +110,17 @@ def _terms(line: Column) -> Column:
 def disclosing_terms(held: DataFrame, docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """``(entity, term, share)`` of the terms that reveal an entity to ``least`` or more of its information.
 
-    ``held(text, base)`` are the texts with base matches, ``docs`` all of them. Copies of a context count once
-    in what an entity and a term share, every line counts in how common the term is; so copies never make a term
-    more telling. Each task adds up its own terms before anything is shuffled.
+    ``held(text, base)`` are the texts with base matches, ``docs`` all of them. A context is a whole line, without
+    the entity itself; contexts are told apart by a 64-bit hash. Copies of a context count once in what an entity
+    and a term share, every line counts in how common the term is; so copies never make a term more telling. Each task adds up its own terms before anything is shuffled.
     """
-    before = F.split(F.substring_index(F.expr("substring(text, 1, cast(m.start as int))"), "\n", -1), " ", -1)
-    after = F.split(F.substring_index(F.expr("substring(text, cast(m.finish as int) + 1)"), "\n", 1), " ", -1)
-    cut = held.select(F.explode("base").alias("m"), "text").select(
-        F.concat_ws(":", F.col("m.kind"), F.lower("m.value")).alias("entity"),
-        F.concat_ws(" ", F.slice(before, F.greatest(F.size(before) - NEAR, F.lit(1)), NEAR + 1), F.slice(after, 1, NEAR + 1)).alias("context"))
-    contexts = cut.distinct()
-    often = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
-    met = contexts.join(often, "entity").select("entity", "n_entity", F.explode(_terms(F.col("context"))).alias("term"))
+    lines = held.select(F.explode(F.split("text", "\n", -1)).alias("line")).select("line", base_spans(F.col("line")).alias("base"))
+    lines = lines.where(F.size("base") > 0).groupBy(F.xxhash64("line").alias("line_key")).agg(F.first("line").alias("line"), F.first("base").alias("base"))
+    contexts = stored(lines.select("line", F.transform("base", lambda m: m.withField("entity", _entity(m))).alias("base")), "contexts")
+    each = contexts.select("line", "base", F.explode(F.array_distinct(F.col("base.entity"))).alias("entity"))
+    often = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
+    others = _replaced(F.col("line"), F.filter("base", lambda m: m["entity"] == F.col("entity")), lambda m: F.lit(" "))
+    met = each.join(often, "entity").select("entity", "n_entity", F.explode(_terms(others)).alias("term"))
     joint = stored(met.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= support), "joint")
     lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     counts = lines.select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
@@ -144,7 +142,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE, ge
     with_base = docs.withColumn("base", base_spans(whole_text()))
     held = stored(with_base.where(F.size("base") > 0).select("text", "base").distinct(), "entities")
     found = disclosing_terms(held, docs.where(F.col("text").isNotNull()), support, generalise)
-    own = held.select("text", F.explode(F.array_distinct(F.transform("base", lambda m: F.concat_ws(":", m["kind"], F.lower(m["value"]))))).alias("entity"))
+    own = held.select("text", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
     hits = own.join(found, "entity").groupBy("text", "term").agg(F.max("share").alias("share"))
     inside = r"(?<![\p{L}\p{M}'])(?iu:\Q%s\E)(?![\p{L}\p{M}'])"
     pattern = F.format_string(inside, F.col("term"))
@@ -159,21 +157,28 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE, ge
     rank = lambda m: F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), m["kind"]), F.lit(0))
     tagged = F.transform(F.concat("base", "_terms"), lambda m: F.struct(m["start"], F.when(rank(m) == 0, 99).otherwise(rank(m)).alias("order"), m["finish"], m["kind"], m["value"]))
     both = both.withColumn("spans", F.transform(F.array_sort(tagged), lambda m: F.struct(m["start"], m["finish"], m["kind"], m["value"])).cast(_SPAN))
-    return both.withColumn("sanitised", F.when(F.size("spans") == 0, F.col("text")).otherwise(_rewritten())).drop("_terms")
+    return both.withColumn("sanitised", F.when(F.size("spans") == 0, F.col("text")).otherwise(_replaced(F.col("text"), F.col("spans"), _mark))).drop("_terms")
 
 
-def _rewritten() -> Column:
-    """The text with its spans replaced, left to right."""
+def _entity(m: Column) -> Column:
+    return F.concat_ws(":", m["kind"], F.lower(m["value"]))
+
+
+def _replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """The text with its spans replaced by their marks, left to right."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-    cut = lambda begin, end: F.substring(F.col("text"), (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+    cut = lambda begin, end: F.substring(text, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
 
     def step(acc: Column, m: Column) -> Column:
-        mark = F.when(m["kind"] == "term-removed", F.lit("")).otherwise(F.concat(F.lit("["), m["kind"], F.lit("]")))
-        new = F.concat(acc["parts"], F.array(cut(acc["at"], m["start"]), mark))
+        new = F.concat(acc["parts"], F.array(cut(acc["at"], m["start"]), mark(m)))
         return F.struct(F.greatest(acc["at"], m["finish"]).alias("at"), F.when(m["start"] >= acc["at"], new).otherwise(acc["parts"]).alias("parts"))
 
-    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), cut(acc["at"], F.length("text")))
-    return F.aggregate("spans", start, step, rest)
+    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), cut(acc["at"], F.length(text)))
+    return F.aggregate(spans, start, step, rest)
+
+
+def _mark(m: Column) -> Column:
+    return F.when(m["kind"] == "term-removed", F.lit("")).otherwise(F.concat(F.lit("["), m["kind"], F.lit("]")))
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

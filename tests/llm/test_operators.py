@@ -164,6 +164,14 @@ def test_telling_terms_go_and_common_ones_stay(spark):
     assert all(r["sanitised"] == r["text"] for r in out if r["doc_id"] >= 4)
 
 
+def test_a_telling_term_far_from_its_entity_goes(spark):
+    far = lambda i: " ".join(f"{'abcdefgh'[k % 8] * 3}{i}" for k in range(40))
+    texts = [f"first line\nZebediah {far(i)} z@home.org {far(i)} Ottoline\nlast line" for i in range(4)] + [f"day {i} {far(i)}" for i in range(200)]
+    out = disclosure.sanitise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    held = [r["sanitised"] for r in out if r["doc_id"] < 4]
+    assert len(held) == 4 and all("Zebediah" not in t and "Ottoline" not in t and "first line" in t and "[email]" in t for t in held)
+
+
 def sets_of(text):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
