@@ -1,7 +1,7 @@
 """Personal data by information-theoretic sanitisation, with DataFrame functions only.
 
 Base matches (e-mail, IP, card, phone) are the protected entities. A context is a line that holds one.
-Over the distinct contexts and the lines of the corpus, the pointwise mutual information of a term with an entity, as a
+Over the distinct lines of the corpus, the pointwise mutual information of a term with an entity, as a
 share of the entity's own information, says how much of the entity the term reveals: 1 where the term only
 ever occurs with the entity, 0 where the two are independent. In texts that hold the entity, terms at or
 above ``REMOVE`` are removed, those at or above ``GENERALISE`` are replaced by their kind, and base matches
@@ -111,8 +111,8 @@ def disclosing_terms(held: DataFrame, docs: DataFrame, support: int = SUPPORT, l
     """``(entity, term, share)`` of the terms that reveal an entity to ``least`` or more of its information.
 
     ``held(text, base)`` are the texts with base matches, ``docs`` all of them. A context is a whole line, without
-    the entity itself; contexts are told apart by a 64-bit hash. Copies of a context count once in what an entity
-    and a term share, every line counts in how common the term is; so copies never make a term more telling. Each task adds up its own terms before anything is shuffled.
+    the entity itself; lines are told apart by a 64-bit hash. Copies of a line count once in every number. Each
+    task drops its own copies of a line and adds up its own terms before anything is shuffled.
     """
     lines = held.select(F.explode(F.split("text", "\n", -1)).alias("line")).select("line", base_spans(F.col("line")).alias("base"))
     lines = lines.where(F.size("base") > 0).groupBy(F.xxhash64("line").alias("line_key")).agg(F.first("line").alias("line"), F.first("base").alias("base"))
@@ -122,9 +122,12 @@ def disclosing_terms(held: DataFrame, docs: DataFrame, support: int = SUPPORT, l
     others = _replaced(F.col("line"), F.filter("base", lambda m: m["entity"] == F.col("entity")), lambda m: F.lit(" "))
     met = each.join(often, "entity").select("entity", "n_entity", F.explode(_terms(others)).alias("term"))
     joint = stored(met.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= support), "joint")
-    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    counts = lines.select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.agg(F.sum(F.size(F.split("text", "\n", -1))).alias("n"))  # one row
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).groupBy(F.xxhash64("line").alias("line_key")).agg(F.first("line").alias("line"))
+    # each line has the empty term once: its number is that of the lines
+    counts = lines.select(F.explode(F.concat(F.array(F.lit("")), _terms(F.col("line")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    wanted = joint.select("term").distinct().unionByName(joint.sparkSession.range(1).select(F.lit("").alias("term")))
+    counts = stored(counts.join(wanted, "term", "left_semi"), "counts")
+    total = counts.where(F.col("term") == "").select(F.col("n_term").alias("n"))  # one row
     info = F.log(F.col("n") / F.col("n_entity"))
     mutual = F.log(F.col("n") * F.col("n_joint") / (F.col("n_entity") * F.greatest("n_term", "n_joint")))
     scored = joint.join(counts, "term").crossJoin(F.broadcast(total)).withColumn("share", F.when(info > 0, mutual / info).otherwise(0.0))

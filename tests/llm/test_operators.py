@@ -172,6 +172,14 @@ def test_a_telling_term_far_from_its_entity_goes(spark):
     assert len(held) == 4 and all("Zebediah" not in t and "Ottoline" not in t and "first line" in t and "[email]" in t for t in held)
 
 
+def test_copies_of_a_context_leave_its_terms_telling(spark):
+    texts = [f"Zebediah is at z@home.org since {x}" for x in ("may", "june", "july")] + ["Zebediah is at z@home.org since may"] * 2000 + [f"it is day {i}" for i in range(1000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    held = df.withColumn("base", disclosure.base_spans(disclosure.F.col("text"))).where("size(base) > 0").distinct()
+    got = {(r["entity"], r["term"]): r["share"] for r in disclosure.disclosing_terms(held, df).collect()}
+    assert set(got) == {("email:z@home.org", "zebediah"), ("email:z@home.org", "since")} and all(abs(x - 1) < 1e-9 for x in got.values())
+
+
 def sets_of(text):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
