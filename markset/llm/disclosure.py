@@ -139,7 +139,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE, ge
 
     ``base`` are the base spans, ``spans`` those and the terms of kind ``term`` that disclose an entity of the
     text; ``sanitised`` is the text with base matches replaced by their kind in brackets, terms above ``remove``
-    taken out and other terms replaced by ``[term]``; of spans that overlap, the first stays. Null text is empty
+    taken out and other terms replaced by ``[term]``; of spans that overlap, the later starts where the first ends. Null text is empty
     and stays null; repeated rows are treated alike; an empty table gives an empty result; other columns pass.
     """
     with_base = docs.withColumn("base", base_spans(whole_text()))
@@ -168,13 +168,13 @@ def _entity(m: Column) -> Column:
 
 
 def _replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
-    """The text with its spans replaced by their marks, left to right."""
+    """The text with its spans replaced by their marks, left to right; what an earlier span took is not replaced again."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
     cut = lambda begin, end: F.substring(text, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
 
     def step(acc: Column, m: Column) -> Column:
         new = F.concat(acc["parts"], F.array(cut(acc["at"], m["start"]), mark(m)))
-        return F.struct(F.greatest(acc["at"], m["finish"]).alias("at"), F.when(m["start"] >= acc["at"], new).otherwise(acc["parts"]).alias("parts"))
+        return F.struct(F.greatest(acc["at"], m["finish"]).alias("at"), F.when(m["finish"] > acc["at"], new).otherwise(acc["parts"]).alias("parts"))
 
     rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), cut(acc["at"], F.length(text)))
     return F.aggregate(spans, start, step, rest)

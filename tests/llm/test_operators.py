@@ -180,6 +180,12 @@ def test_copies_of_a_context_leave_its_terms_telling(spark):
     assert set(got) == {("email:z@home.org", "zebediah"), ("email:z@home.org", "since")} and all(abs(x - 1) < 1e-9 for x in got.values())
 
 
+def test_overlapping_spans_go_whole(spark):
+    texts = ["pay 4111 1111 1111 1111bob@x.org now", "1.2.3.4@x.org", "+4111111111111111 a"]
+    out = disclosure.sanitise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["sanitised"] for r in out} == {0: "pay [card][email] now", 1: "[email]", 2: "+[card] a"}
+
+
 def sets_of(text):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
