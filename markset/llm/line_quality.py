@@ -1,7 +1,7 @@
 """Quality rules, with lines that many documents of a host share.
 
 Lines are normalised and hashed, and the distinct documents of a host that hold each line are counted;
-texts that are copies of each other count as one document. Lines above their host's limit are removed,
+texts that are copies of each other count as one document. Lines in ``COMMON_DOCS`` or more are removed,
 and a document that this leaves with too few of its words is rejected.
 """
 
@@ -19,8 +19,8 @@ from markset.llm.common import WORD, table, whole_text
 
 #: The base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A line is common on a host from so many documents on, or from this share of the host's documents if that is more.
-COMMON_DOCS, COMMON_SHARE = 10, 0.05
+#: A line is common on a host from so many documents on, however large the host is.
+COMMON_DOCS = 10
 #: A document that keeps less than this share of its words is depleted.
 LEAST_LEFT = 0.3
 
@@ -82,12 +82,10 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.where("words > 0")
 
 
-def common_lines(docs: DataFrame, least: int = COMMON_DOCS, share: float = COMMON_SHARE) -> DataFrame:
-    """``(source, line_key)`` of the lines above their host's limit. A null source is a host of its own."""
-    hosts = docs.groupBy("source").agg(F.count_distinct(F.xxhash64("text")).alias("docs"))
-    hosts = hosts.select(F.col("source").alias("_host"), F.greatest(F.lit(float(least)), F.col("docs") * share).alias("limit"))
-    held = lines(docs).groupBy("source", "line_key").agg(F.count_distinct("text_key").alias("docs")).where(F.col("docs") >= least)
-    return held.join(hosts, F.col("source").eqNullSafe(F.col("_host"))).where(F.col("docs") >= F.col("limit")).select("source", "line_key")
+def common_lines(docs: DataFrame, least: int = COMMON_DOCS) -> DataFrame:
+    """``(source, line_key)`` of the lines that ``least`` documents of a host hold. A null source is a host of its own."""
+    held = lines(docs).groupBy("source", "line_key").agg(F.count_distinct("text_key").alias("docs"))
+    return held.where(F.col("docs") >= least).select("source", "line_key")
 
 
 def removed_words(docs: DataFrame, common: DataFrame) -> DataFrame:
@@ -97,14 +95,14 @@ def removed_words(docs: DataFrame, common: DataFrame) -> DataFrame:
     return hit.groupBy(*_IDS).agg(F.sum("words").alias("removed"))
 
 
-def judge_lines(docs: DataFrame, least: int = COMMON_DOCS, share: float = COMMON_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def judge_lines(docs: DataFrame, least: int = COMMON_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """doc_id, the base counts, base_failed, removed_words and kept, one row per row of ``docs``.
 
     Null text has no words and fails the base rules, as an empty one does; rows that repeat one doc_id,
     source and text have one verdict; an empty table gives an empty result; other columns are ignored.
     """
     counts = base(docs)
-    gone = removed_words(docs, common_lines(docs, least, share))
+    gone = removed_words(docs, common_lines(docs, least))
     # a row that occurs several times had its lines counted as often
     per = counts.groupBy(*_IDS).agg(F.count(F.lit(1)).alias("_times"), *(F.first(c.split()[0]).alias(c.split()[0]) for c in _BASE.split(", ")))
     same = [per[c].eqNullSafe(gone[c]) for c in _IDS]
@@ -117,9 +115,9 @@ def judge_lines(docs: DataFrame, least: int = COMMON_DOCS, share: float = COMMON
     return many.withColumn("_i", F.explode(F.expr("sequence(1, cast(least(1000, _times - _k * 1000) as int))"))).drop("_k", "_i", "_times")
 
 
-def without_common_lines(docs: DataFrame, least: int = COMMON_DOCS, share: float = COMMON_SHARE) -> DataFrame:
+def without_common_lines(docs: DataFrame, least: int = COMMON_DOCS) -> DataFrame:
     """``docs`` with the common lines of their hosts taken out of the text; n_chars follows where present."""
-    common = common_lines(docs, least, share).groupBy("source").agg(F.collect_set("line_key").alias("_gone"))
+    common = common_lines(docs, least).groupBy("source").agg(F.collect_set("line_key").alias("_gone"))
     common = common.withColumnRenamed("source", "_host")
     out = docs.join(common, docs["source"].eqNullSafe(common["_host"]), "left").drop("_host")
     left = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<bigint>")), F.xxhash64(normal(x))))

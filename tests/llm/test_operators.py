@@ -305,6 +305,15 @@ def test_common_lines_deplete_a_document(spark):
     assert left[1] == own(1) and left[100] == own(100) and left[200] == data[-1][1]
 
 
+def test_common_lines_are_the_same_at_every_size_of_a_host(spark):
+    F = line_quality.F
+    text = F.concat(F.when(F.col("id") < 12, F.lit("shared by twelve\n")).when(F.col("id") < 21, F.lit("shared by nine\n")).otherwise(F.lit("")), F.lit("own"), F.col("id").cast("string"))
+    for n in (100, 100_000):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("h").alias("source"))
+        assert line_quality.common_lines(docs).count() == 1
+        assert line_quality.judge_lines(docs).where("removed_words = 3").count() == 12
+
+
 def test_mixing_meets_targets(docs, none, rows):
     plan = mixing.mix_plan(mixing.sized(docs)).collect()
     sizes = Counter()
