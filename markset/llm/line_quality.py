@@ -1,8 +1,8 @@
 """Quality rules, with lines that many documents of a host share.
 
-Lines are normalised and hashed, and the distinct documents of a host that hold each line are counted;
-texts that are copies of each other count as one document. Lines in ``COMMON_DOCS`` or more are removed,
-and a document that this leaves with too few of its words is rejected.
+Lines are normalised and hashed, and the distinct documents of a host that hold each line are counted,
+each id with its text: rows that repeat both count once, copies under other ids count each. Lines in
+``COMMON_DOCS`` or more are removed, and a document that this leaves with too few of its words is rejected.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def common_lines(docs: DataFrame, least: int = COMMON_DOCS) -> DataFrame:
     """``(source, line_key)`` of the lines that ``least`` documents of a host hold. A null source is a host of its own."""
-    held = lines(docs).groupBy("source", "line_key").agg(F.count_distinct("text_key").alias("docs"))
+    held = lines(docs).groupBy("source", "line_key").agg(F.count_distinct(F.struct("doc_id", "text_key")).alias("docs"))
     return held.where(F.col("docs") >= least).select("source", "line_key")
 
 

@@ -314,6 +314,13 @@ def test_common_lines_are_the_same_at_every_size_of_a_host(spark):
         assert line_quality.judge_lines(docs).where("removed_words = 3").count() == 12
 
 
+def test_copies_under_other_ids_are_documents_of_their_own(spark):
+    page = "\n".join(f"line {k} " + " ".join(f"w{k}x{j}" for j in range(20)) for k in range(5))
+    data = [(i, page, "copies") for i in range(12)] + [(100, page, "rows")] * 12 + [(None, page, "null")] * 12
+    got = Counter((r["doc_id"] if r["doc_id"] is None else min(r["doc_id"], 100) // 100, r["removed_words"], r["kept"]) for r in line_quality.judge_lines(spark.createDataFrame(data, "doc_id long, text string, source string")).collect())
+    assert got == {(0, 110, False): 12, (1, 0, True): 12, (None, 0, True): 12}
+
+
 def test_mixing_meets_targets(docs, none, rows):
     plan = mixing.mix_plan(mixing.sized(docs)).collect()
     sizes = Counter()
