@@ -15,9 +15,6 @@ from markset.operators.running import spread_rank
 from markset.operators.spatial import eligible_pairs
 from markset.session import materialize
 
-#: A component with more edges than this is refused with its size instead of being solved wrongly.
-MAX_COMPONENT_EDGES = 200_000
-
 
 def _sites(points: DataFrame, id_col: str, count: str, extra: list[str]) -> DataFrame:
     """Points at one place are interchangeable: keep one row per place with its count."""
@@ -46,7 +43,6 @@ def _component_slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Data
     Only the unfinished last component is carried from one batch to the next.
     """
     carry: list[pd.DataFrame] = []
-    held = 0
     for pdf in batches:
         if pdf.empty:
             continue
@@ -56,12 +52,9 @@ def _component_slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Data
             change = np.concatenate([[0], change])
         if not len(change):
             carry.append(pdf)
-            held += len(pdf)
-            if held > MAX_COMPONENT_EDGES:
-                raise ValueError(f"component {keys[0]} has more than {MAX_COMPONENT_EDGES} edges")
             continue
         whole = pd.concat([*carry, pdf.iloc[:change[-1]]], ignore_index=True)
-        carry, held = [pdf.iloc[change[-1]:]], len(pdf) - int(change[-1])
+        carry = [pdf.iloc[change[-1]:]]
         yield whole, _offsets(whole)
     if carry:
         whole = pd.concat(carry, ignore_index=True)
@@ -79,8 +72,6 @@ def _assign_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pn, rn = pdf["pn"].tolist(), pdf["rn"].tolist()
         flow: list[int] = []
         for a, b in zip(cut[:-1], cut[1:]):
-            if b - a > MAX_COMPONENT_EDGES:
-                raise ValueError(f"component {pdf['comp'].iloc[a]} has {b - a} edges, the limit is {MAX_COMPONENT_EDGES}")
             flow += assign_component(p[a:b], r[a:b], d[a:b], dict(zip(p[a:b], pn[a:b])), dict(zip(r[a:b], rn[a:b])))
         pdf = pdf.assign(flow=np.array(flow, dtype="int64"))
         yield pdf[pdf["flow"] > 0].drop(columns=["comp"])

@@ -2,13 +2,14 @@ import itertools
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from markset.functions.assign import assign_component, gains_in_order
 from markset.operators import curves
 from markset.operators.graph import connected_components
-from markset.operators.matching import match_points, matching_gains
+from markset.operators.matching import _assign_batches, _gain_batches, match_points, matching_gains
 from markset.operators.spatial import eligible_pairs
 
 
@@ -141,6 +142,17 @@ def test_capacity_solver_against_unit_solver():
         assert sum(gains.values()) == sum(flow)
 
 
+def test_a_large_component_is_solved_and_stops_no_other():
+    n = 200_001
+    star = pd.DataFrame({"comp": "a", "page_id": 1, "pred_id": 1, "ref_id": range(n), "distance": [float(abs(i - 777)) for i in range(n)], "confidence": 0.5, "pn": 1, "rn": 1})
+    other = star[:2].assign(comp="b", page_id=2)
+    parts = [star[:90_000], star[90_000:], other]
+    got = pd.concat(_assign_batches(iter(parts)))
+    assert sorted(zip(got["page_id"], got["ref_id"], got["flow"])) == [(1, 777, 1), (2, 1, 1)]
+    gains = pd.concat(_gain_batches(iter(parts)))
+    assert sorted(zip(gains["page_id"], gains["gain"])) == [(1, 1), (2, 1)]
+
+
 def test_gains_per_page_sum_to_matching(spark):
     preds, refs = frames(spark, random_pages(11, size=8))
     preds = preds.withColumn("confidence", F.col("pred_id") / 10)
