@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ from markset.llm.common import stored, table, whole_text
 ONE_OF = 8
 #: Occurrences in the sample that propose a phrase, for each that is asked for in the whole: lowered, so few are missed.
 LOWERED = 0.8
-#: The table of proposals has two to this power bits.
-BITS = 27
+#: The table of proposals has so many bits a proposal, and two to this power bits at most.
+BITS_EACH, BITS = 16, 27
 #: Characters of one language handled at a time.
 STEP_CHARS = 3_000_000
 
@@ -57,7 +58,7 @@ def _pair_keys(first: np.ndarray, second: np.ndarray, seed: np.uint64) -> np.nda
 
 
 def _bit(table_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - BITS)
+    at = keys >> np.uint64(65 - (64 * len(table_)).bit_length())
     return (table_[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -108,25 +109,25 @@ def _proposals(docs: DataFrame, least: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate([single[single > 0], n]))], names=["key", "n"])
 
     seen = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return _as_table(seen)
+    seen = stored(seen.select("key"), "proposals")
+    return _as_table(seen, min(BITS, max(10, (BITS_EACH * seen.count()).bit_length())))
 
 
-def _as_table(keys: DataFrame) -> np.ndarray:
+def _as_table(keys: DataFrame, bits: int) -> np.ndarray:
     """The keys' bits. At most 2 ** (BITS - 6) numbers come to the driver."""
-    at = F.shiftrightunsigned("key", 64 - BITS)
-    bits = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(key, {64 - BITS}) & 63 AS INT)))").alias("bits"))
-    got, out = bits.toArrow(), np.zeros(1 << (BITS - 6), np.uint64)
+    at = F.shiftrightunsigned("key", 64 - bits)
+    bit = F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(key, {64 - bits}) & 63 AS INT)))")
+    got, out = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(bit.alias("bits")).toArrow(), np.zeros(1 << (bits - 6), np.uint64)
     out[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def _counted(docs: DataFrame, proposed: np.ndarray, before: np.ndarray | None) -> DataFrame:
-    """``(lang, words, phrase, n)`` of the proposals and their border, less what ``before`` had counted already.
+def _counted(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """``(lang, words, phrase, n)`` of the proposals and their border, less what an earlier table had counted already.
 
-    A task adds up the phrases of some texts before anything is shuffled. Without ``before``, words are counted
-    too, and the number of all words stands under zero words.
+    ``sent`` holds both tables. A task adds up the phrases of some texts before anything is shuffled. Without an
+    earlier table, words are counted too, and the number of all words stands under zero words.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((proposed, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, old = sent.value
@@ -172,9 +173,8 @@ def _rows(lang: str, words: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.repeat(lang, k), pa.array(np.full(k, words, np.int32)), phrases.cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "n"])
 
 
-def _failures(frequent: DataFrame, proposed: np.ndarray) -> DataFrame:
+def _failures(frequent: DataFrame, sent: Broadcast) -> DataFrame:
     """Keys of frequent words and pairs that were not proposed."""
-    sent = frequent.sparkSession.sparkContext.broadcast(proposed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,7 +183,7 @@ def _failures(frequent: DataFrame, proposed: np.ndarray) -> DataFrame:
                 h, seed = _hashes(phrase.encode().split(b" ")), _seed(lang)
                 keys.append(_mix(h + seed) if len(h) == 1 else _pair_keys(h[:1], h[1:], seed))
             keys = np.concatenate([*keys, np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[~_bit(sent.value, keys)].view(np.int64))], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[~_bit(sent.value[0], keys)].view(np.int64))], names=["key"])
 
     return frequent.where("words in (1, 2)").select("lang", "phrase").mapInArrow(run, "key long")
 
@@ -197,14 +197,15 @@ def frequent_phrases(docs: DataFrame, least: int, one_of: int = ONE_OF) -> DataF
     proposed = _proposals(_texts(some), max(1, int(LOWERED * least / one_of)))
     found, before = [], None
     while True:
-        pass_ = stored(_counted(_texts(docs), proposed, before).where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+        sent = docs.sparkSession.sparkContext.broadcast((proposed, before))
+        pass_ = stored(_counted(_texts(docs), sent).where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
         found.append(pass_)
-        if len(found) == LONGEST:  # the third pass can only open triples, which open nothing
+        # the third pass can only open triples, which open nothing
+        missed = stored(_failures(pass_, sent), "failures") if len(found) < LONGEST else None
+        sent.unpersist()
+        if missed is None or missed.isEmpty():
             break
-        missed = stored(_failures(pass_, proposed), "failures")
-        if missed.isEmpty():
-            break
-        before, proposed = proposed, proposed | _as_table(missed)
+        before, proposed = proposed, proposed | _as_table(missed, (64 * len(proposed)).bit_length() - 1)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
