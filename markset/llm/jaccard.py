@@ -9,9 +9,9 @@ third of all documents share a list of that length. The boundary is where listin
 
 Every pair that meets in a list is either compared exactly or already joined by compared pairs: first
 each set with one list's first member, then with the first members of its other lists where they are not
-in its component yet, then members of different components with each other. Sketches of the sets rule
-most pairs that do not link out beforehand. So copies and families of near copies cost one comparison a
-member and list, not all pairs.
+in its component yet, then members of different components with each other, in the list's own task, which
+gives out the links that unite components only. Sketches of the sets rule most pairs that do not link out
+beforehand. So what a list gives out grows with its members, never with their pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ SCAN_COST = 4
 MOST_LIGHT = 16
 #: A sketch has two to this power bits at most.
 MOST_BITS = 16
-#: Members of a list that are compared with each other at a time.
-TOGETHER = 2048
+#: Members of a list that are compared with each other at a time, and shingles that they have on average at most.
+TOGETHER, SHINGLES_EACH = 2048, 1000
 #: Up to so many ids of documents with candidates go to every task; more are joined by a shuffle.
 SENT = 2_000_000
 
@@ -303,8 +303,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     part = connected_components(_linked(best, live, docs))
     rest = _apart(star.select("src", "dst").join(best, ["src", "dst"], "left_anti"), part)
     part = connected_components(_joined(part).unionByName(_linked(rest, live, docs)))
-    more = _across(lists, live, part).join(star, ["src", "dst"], "left_anti")
-    whole = connected_components(_joined(part).unionByName(_linked(more, live, docs)))
+    whole = connected_components(_joined(part).unionByName(_across(lists, live, part, docs)))
     least = whole.join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = nodes.join(whole, "node", "left").join(least, "component", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
     return sized.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -341,58 +340,96 @@ def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
     return both.where(F.coalesce("_a", "src") != F.coalesce("_b", "dst")).select("src", "dst")
 
 
-def _across(lists: DataFrame, live: DataFrame, part: DataFrame) -> DataFrame:
-    """Pairs ``(src, dst)`` of a list in different components that sizes and sketches do not prove apart.
+def _across(lists: DataFrame, live: DataFrame, part: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``(src, dst)`` that join the different components met in a list, as few as join them.
 
-    A task reads one list at a time; a long list is dealt into chunks by hash, and two chunks meet at a time.
+    A task reads one list at a time; a long list is dealt into chunks by hash, and two chunks meet at a time. Sizes
+    and sketches first say which members may link with another component at all: at most all members of the list
+    go on. Those meet once more with their sets, are compared exactly where they are not united yet, and unite; a
+    link is given out where it unites, so at most one a member, whatever the pairs.
     """
     member = live.join(part, "node", "left").select("node", "n", "sketch", F.coalesce("component", "node").alias("component"))
-    within = lists.join(member.select("node", "component"), "node")
-    split = within.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("length")).where("_a <> _b")
-    open_ = lists.join(split.select("key", F.ceil(F.col("length") / TOGETHER).alias("chunks")), "key")
+    within = lists.join(member.select("node", "n", "component"), "node")
+    split = within.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("length"), F.sum("n").alias("shingles")).where("_a <> _b")
+    chunks = F.greatest(F.ceil(F.col("length") / TOGETHER), F.ceil(F.col("shingles") / (TOGETHER * SHINGLES_EACH)))
+    open_ = lists.join(split.select("key", chunks.alias("chunks")), "key")
     open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    dealt = open_.withColumn("_o", other).select("key", "node", "chunk", F.least("chunk", "_o").alias("low"), F.greatest("chunk", "_o").alias("high")).join(member, "node")
+    dealt = open_.withColumn("_o", other).select("key", "node", "chunk", F.least("chunk", "_o").alias("low"), F.greatest("chunk", "_o").alias("high"))
     columns = ["key", "low", "high", "node", "chunk", "n", "component", "sketch"]
 
-    def pairs(rows: dict[str, np.ndarray], sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        words, n, comp, node, chunk = _words(sketches), rows["n"], rows["component"], rows["node"], rows["chunk"]
+    def partners_of(rows: dict[str, np.ndarray], sketches: list[bytes], root: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with the later ones of other roots that sizes and sketches do not prove apart. Roots may change meanwhile."""
+        words, n, chunk = _words(sketches), rows["n"], rows["chunk"]
         coarse = _folded(words, max(words.shape[1] // 8, 1))
-        two, src, dst = rows["low"][0] != rows["high"][0], [], []
-        for i in range(len(node) - 1):
+        two = rows["low"][0] != rows["high"][0]
+        for i in range(len(n) - 1):
             later = slice(i + 1, None)
-            ok = (comp[later] != comp[i]) & (5 * np.minimum(n[i], n[later]) >= 4 * np.maximum(n[i], n[later]))
+            ok = (root[later] != root[i]) & (5 * np.minimum(n[i], n[later]) >= 4 * np.maximum(n[i], n[later]))
             if two:  # pairs within a chunk meet where it stands alone
                 ok &= chunk[later] != chunk[i]
             at = np.flatnonzero(ok) + i + 1
             for w in (coarse, words):
                 at = at[may_link(n[i], w[i], n[at], w[at])]
-            src.append(np.minimum(node[i], node[at]))
-            dst.append(np.maximum(node[i], node[at]))
-        return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64),) * 2
+            if len(at):
+                yield i, at
+
+    def near(group: pa.Table) -> pa.RecordBatch:
+        rows = {c: group.column(c).to_numpy() for c in columns[:-1]}
+        marked = np.zeros(group.num_rows, bool)
+        for i, at in partners_of(rows, group.column("sketch").to_pylist(), rows["component"]):
+            marked[i] = True
+            marked[at] = True
+        return pa.RecordBatch.from_arrays([pa.array(rows[c][marked]) for c in ("key", "low", "high", "node", "chunk")], names=["key", "low", "high", "node", "chunk"])
+
+    def uniting(group: pa.Table) -> pa.RecordBatch:
+        rows = {c: group.column(c).to_numpy() for c in columns[:-1]}
+        sets = [np.frombuffer(b, np.uint64) for b in group.column("content").to_pylist()]
+        root, node, src, dst = rows["component"].copy(), rows["node"], [], []
+        for i, at in partners_of(rows, group.column("sketch").to_pylist(), root):
+            for j in at[_links_with(sets[i], [sets[j] for j in at])]:
+                if root[j] != root[i]:
+                    src.append(node[i])
+                    dst.append(node[j])
+                    root[root == root[j]] = root[i]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (src, dst)], names=["src", "dst"])
+
+    together = dealt.join(member, "node").select(*columns)
+    near_ones = stored(_by_list(together, near, "key long, low long, high long, node long, chunk long"), "near")
+    sets = stored(_sets(docs, live.select("node", "doc_id").join(near_ones.select("node").distinct(), "node", "left_semi")), "sets")
+    again = near_ones.join(member, "node").select(*columns).join(sets, "node").select(*columns, "content")
+    return stored(_by_list(again, uniting, "src long, dst long"), "uniting")
+
+
+def _by_list(df: DataFrame, of_group: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``of_group`` makes of the rows of each ``(key, low, high)``, one group in memory at a time."""
+    groups = ["key", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush(group: pa.Table) -> pa.RecordBatch:
-            rows = {c: group.column(c).to_numpy() for c in columns[:-1]}
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(rows, group.column("sketch").to_pylist())], names=["src", "dst"])
-
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([*held, b])
-            keys = np.stack([t.column(c).to_numpy() for c in columns[:3]])
+            keys = np.stack([t.column(c).to_numpy() for c in groups])
             starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1)]
             for a, z in zip(starts, starts[1:], strict=False):
                 if z - a > 1:
-                    yield flush(t.slice(a, z - a))
+                    yield of_group(t.slice(a, z - a))
             held = t.slice(starts[-1]).to_batches()
         if held:
-            yield flush(pa.Table.from_batches(held))
+            yield of_group(pa.Table.from_batches(held))
+
+    return df.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, schema)
+
 
-    sorted_ = dealt.select(*columns).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return sorted_.mapInArrow(run, "src long, dst long").distinct()
+def _links_with(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of some sets link with ``x``, exactly. Sets are sorted."""
+    lens = np.fromiter(map(len, others), np.int64, len(others))
+    all_ = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, all_), len(x) - 1)] == all_
+    shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(lens) - lens)
+    return 100 * shared >= 80 * (len(x) + lens - shared)
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
