@@ -189,6 +189,27 @@ DERIVED: dict[str, str | tuple[str, str]] = {
                CASE rotation WHEN 0 THEN 1.5 WHEN 180 THEN -1.5 ELSE 0.0 END AS m22,
                cx-15 AS x0, cy-15 AS y0, cx+15 AS x1, cy+15 AS y1
         FROM {fx_symbols}""",
+    # -- the same symbols drawn at other sizes: A at half, N at four thirds, R at its own
+    "fx_sized_primitives": """
+        WITH m AS (SELECT *, CASE shape WHEN 'A' THEN 0.5 WHEN 'N' THEN CAST(4 AS DOUBLE)/3 ELSE 1.0 END AS f,
+                CASE rotation WHEN 0 THEN 1 WHEN 180 THEN -1 ELSE 0 END AS co, CASE rotation WHEN 90 THEN 1 WHEN 270 THEN -1 ELSE 0 END AS si FROM {fx_symbols}),
+        p AS (SELECT page_id, symbol_id*10 + part_no AS prim_id, kind,
+                cx + f*(co*CAST(ax AS DOUBLE) - si*CAST(ay AS DOUBLE)) AS c0x, cy + f*(si*CAST(ax AS DOUBLE) + co*CAST(ay AS DOUBLE)) AS c0y,
+                cx + f*(co*CAST(bx AS DOUBLE) - si*CAST(by_ AS DOUBLE)) AS c1x, cy + f*(si*CAST(bx AS DOUBLE) + co*CAST(by_ AS DOUBLE)) AS c1y,
+                cx + f*(co*CAST(gx AS DOUBLE) - si*CAST(gy AS DOUBLE)) AS c2x, cy + f*(si*CAST(gx AS DOUBLE) + co*CAST(gy AS DOUBLE)) AS c2y,
+                cx + f*(co*CAST(dx AS DOUBLE) - si*CAST(dy AS DOUBLE)) AS c3x, cy + f*(si*CAST(dx AS DOUBLE) + co*CAST(dy AS DOUBLE)) AS c3y
+              FROM m JOIN {fx_shape_lines} l ON m.shape = l.shape)
+        SELECT *, least(c0x,c1x,c2x,c3x) AS x0, least(c0y,c1y,c2y,c3y) AS y0, greatest(c0x,c1x,c2x,c3x) AS x1, greatest(c0y,c1y,c2y,c3y) AS y1 FROM p""",
+    # -- blocks that stand in blocks: a frame holds two A and a corner, a corner holds an N
+    "fx_block_uses": """
+        SELECT * FROM (VALUES ('frame', 0, 'block-A', 0.5, 0.0, 0.0, 0.5, 60.0, 0.0), ('frame', 1, 'block-A', 0.0, -1.0, 1.0, 0.0, -60.0, 10.0),
+          ('frame', 2, 'corner', -1.0, 0.0, 0.0, 1.0, 0.0, 40.0), ('corner', 0, 'block-N', 1.0, 0.0, 0.0, 1.0, 20.0, 10.0)) AS u(group_key, use_no, child_key, m11, m12, m21, m22, tx, ty)""",
+    "fx_placed": """
+        SELECT p.page_id, placement_id, CASE CAST(placement_id % 7 AS INT) WHEN 0 THEN 'frame' WHEN 1 THEN 'corner' ELSE group_key END AS group_key, m11, m12, m21, m22, cx AS tx, cy AS ty
+        FROM {fx_placements} p JOIN {fx_symbols} s ON placement_id = symbol_id""",
+    "fx_extents": """
+        SELECT 'block-' || shape AS group_key, min(CAST(least(ax, bx, gx, dx) AS DOUBLE)) AS bx0, min(CAST(least(ay, by_, gy, dy) AS DOUBLE)) AS by0,
+               max(CAST(greatest(ax, bx, gx, dx) AS DOUBLE)) AS bx1, max(CAST(greatest(ay, by_, gy, dy) AS DOUBLE)) AS by1 FROM {fx_shape_lines} GROUP BY shape""",
     # -- batches: one per customer, its orders are the pages
     "fx_batch_pages": """
         SELECT o_custkey AS batch_id, o_orderkey AS position,

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markset.operators.running import percentiles
+from markset.operators.running import join_same, number_rows, percentiles, running
+from markset.session import materialize
 
 
 def _finite(score: Column) -> Column:
@@ -49,33 +50,82 @@ def sample_background(scores: DataFrame, id_col: str, n: int = 4096, exclude_abo
     return below.drop("cut", "low").orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(n)
 
 
-def monotone_fit(y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weighted least-squares fit that never falls: the slopes of the largest convex curve under the running sums.
-    A corner on or above the line between its neighbours is not on that curve, so all such corners go at once."""
-    x, s = (np.append(0.0, np.cumsum(v)) for v in (w, w * y))
+#: Corners of a group that are looked at together at first.
+CORNERS = 8192
+
+
+def _convex(x: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which of some points, in order of ``x``, are corners of the largest convex curve under them."""
     corners = np.arange(len(x))
-    while True:
+    while len(corners) > 2:
         slope = np.diff(s[corners]) / np.diff(x[corners])
         bent = slope[1:] > slope[:-1] + 1e-12
         if bent.all():
-            return np.repeat(slope, np.diff(corners))
+            break
         corners = corners[np.concatenate([[True], bent, [True]])]
+    return corners
 
 
-def isotonic_fit(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Monotone map from score to the share of positives, one row per distinct score.
+def isotonic_fit(pairs: DataFrame, by: list[str], together: int = CORNERS) -> DataFrame:
+    """Monotone map from score to the share of positives, one row per distinct score: ``by``, score, fitted.
 
-    Tied scores are pooled by an aggregate first, so a group reaches its task as
-    one row per distinct score.
+    The fit's values are the slopes of the largest convex curve under the running sums of labels over those of
+    weights. A point that is no corner of that curve among some neighbours is none of the whole, so the points of a
+    group are cut into stretches of ``together``, each keeps its corners only, and what is left is cut again, with
+    the cuts shifted, until a group's corners are one stretch. Where little goes, stretches are made longer: of n
+    pairs a curve has O(n ** (2/3)) corners, since its slopes are different fractions whose denominators add up to n.
+    Scores that are null or not finite are left out; ties are pooled; an empty table gives an empty result.
     """
-    pooled = pairs.where(_finite(F.col("score"))).groupBy(*by, "score").agg(F.avg("label").alias("mean"), F.count(F.lit(1)).cast("double").alias("weight"))
-    types = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
+    pooled = pairs.where(_finite(F.col("score"))).groupBy(*by, "score").agg(F.sum("label").cast("double").alias("_p"), F.count(F.lit(1)).cast("double").alias("_q"))
+    points = materialize(running(pooled, by, "score", {"_s": ("sum", "_p"), "_w": ("sum", "_q")}).select(*by, "score", "_w", "_s"), "points")
+    types = "".join(f"{c} {pairs.schema[c].dataType.simpleString()}, " for c in by)
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_w", ignore_index=True)
+        kept = pdf.iloc[_convex(pdf["_w"].to_numpy(), pdf["_s"].to_numpy())]
+        return kept[[*by, "score", "_w", "_s"]].assign(_slope=kept["_s"].diff() / kept["_w"].diff())
+
+    origin = points.select(*by).distinct() if by else points.limit(1).select()
+    corners = points.unionByName(origin.select(*by, F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("_w"), F.lit(0.0).alias("_s")))
+    left, shift = corners.count(), 0
+    while True:
+        numbered = number_rows(corners, by, "_w", "_n").withColumn("_part", F.floor((F.col("_n") - 1 + shift) / together))
+        longest = numbered.agg(F.max("_n")).first()[0] or 0
+        if longest <= together:
+            numbered = numbered.withColumn("_part", F.lit(0).cast("long"))
+        cut = numbered.groupBy(*by, "_part").applyInPandas(reduce, f"{types}score double, _w double, _s double, _slope double")
+        corners = materialize(cut, "corners")
+        if longest <= together:
+            break
+        corners, before = corners.drop("_slope"), left
+        left = corners.count()
+        together, shift = together * (1 if 2 * left <= before else 4), together // 2 - shift
+    steps = points.withColumn("_m", F.lit(None).cast("double")).select(*by, "score", "_m").unionByName(corners.where("score IS NOT NULL").select(*by, "score", (-F.col("_slope")).alias("_m")))
+    steps = steps.groupBy(*by, "score").agg(F.max("_m").alias("_m"))
+    # slopes rise, so the least one from a score on is that of the corner it leads to
+    return running(steps, by, "score", {"_fit": ("max", "_m")}, descending=True).select(*by, "score", (-F.col("_fit")).alias("fitted"))
+
+
+def calibration_steps(fit: DataFrame, by: list[str]) -> DataFrame:
+    """The fit as steps: ``by``, fitted, and the least and the greatest score that has it."""
+    return fit.groupBy(*by, "fitted").agg(F.min("score").alias("low"), F.max("score").alias("high"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("score", ignore_index=True)
-        return pdf[[*by, "score"]].assign(fitted=monotone_fit(pdf["mean"].to_numpy(), pdf["weight"].to_numpy()))
 
-    return pooled.groupBy(*by).applyInPandas(fit, f"{types}, score double, fitted double")
+def calibrated(scores: DataFrame, fit: DataFrame, by: list[str]) -> DataFrame:
+    """``scores`` with ``p``, piecewise linear through the fit of their group and constant outside it.
+
+    Scores and fit are laid in one order, and each score looks at the fit's points before and after it by running
+    maxima and minima: no map is gathered, however many points it has. Null where the group has no fit or the score
+    is null or not finite.
+    """
+    wanted = scores.where(_finite(F.col("score"))).select(*by, "score").distinct().withColumn("fitted", F.lit(None).cast("double"))
+    laid = wanted.unionByName(fit.select(*by, "score", "fitted")).groupBy(*by, "score").agg(F.max("fitted").alias("fitted"))
+    laid = laid.withColumn("_k", F.when(F.col("fitted").isNotNull(), F.struct("score", "fitted")))
+    laid = running(running(laid, by, "score", {"_lo": ("max", "_k")}), by, "score", {"_hi": ("min", "_k")}, descending=True)
+    x0, y0, x1, y1 = F.col("_lo.score"), F.col("_lo.fitted"), F.col("_hi.score"), F.col("_hi.fitted")
+    between = F.when(x1 > x0, y0 + (F.col("score") - x0) * (y1 - y0) / (x1 - x0)).otherwise(y0)
+    p = laid.select(*by, "score", F.when(F.col("_lo").isNull(), y1).when(F.col("_hi").isNull(), y0).otherwise(between).alias("p"))
+    return join_same(scores, p, [*by, "score"], "left")
 
 
 def isotonic_fit_global(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -10,17 +10,35 @@ from markset.session import materialize
 
 #: Up to this many (already aggregated) rows, one window per group is the cheaper plan.
 PLAIN_LIMIT = 400_000
-RANGES = 128
+
+_OF_TWO = {"max": F.greatest, "min": F.least}
+
+
+def ranged(df: DataFrame, by: list[str], order: str, descending: bool = False, parts: int | None = None) -> DataFrame:
+    """``df``, written once, with ``_range``: which part of the order over ``by`` and ``order`` a row stands in.
+
+    Parts are cut by a sample of the rows themselves, so they are about equally large whatever a group holds and
+    however close its values lie; a long group has as many parts as its share of the rows, a short one is in one or
+    two. Rows of one place are in one part. Parts are numbered along the order.
+    """
+    keys = [*[F.col(c) for c in by], F.col(order).desc() if descending else F.col(order).asc()]
+    return materialize(df.repartitionByRange(*([parts] if parts else []), *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null with null; the keys and other columns of ``left``, then the other columns of ``right``."""
+    names = {k: f"_same_{k}" for k in keys}
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right.withColumnsRenamed(names), on, how).drop(*names.values())
 
 
 def running(df: DataFrame, by: list[str], order: str, aggs: dict[str, tuple[str, str]], descending: bool = False,
             plain_limit: int = PLAIN_LIMIT) -> DataFrame:
-    """Add running aggregates ``{out: ("sum" | "max", column)}`` over ``order`` within ``by``.
+    """Add running aggregates ``{out: ("sum" | "max" | "min", column)}`` over ``order`` within ``by``.
 
-    Rows must be aggregated to one per ``(by, order)``. Short groups use one
-    window each. A long one is cut into value ranges: totals per range
-    (at most ``RANGES`` rows a group) give each range its starting value, and
-    the windows run inside the ranges.
+    Rows must be aggregated to one per ``(by, order)``. Short groups use one window each. Where a group is long,
+    all are cut into ranges: totals, a row a group and range that it stands in, give each range its starting value,
+    and the windows run inside the ranges.
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     # the longest group decides: a plain window holds one group per task
@@ -35,30 +53,29 @@ def running(df: DataFrame, by: list[str], order: str, aggs: dict[str, tuple[str,
     if n <= plain_limit:
         keys = by or [F.lit(0)]
         return apply(df, Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0), aggs)
-    cuts = [i / RANGES for i in range(1, RANGES)]
-    bounds = sorted(set(df.agg(F.percentile_approx(order, cuts, 10_000)).first()[0]))
-    ranged = df.withColumn("_range", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order))))
-    totals = ranged.groupBy(*by, "_range").agg(*[getattr(F, how)(col).alias(out) for out, (how, col) in aggs.items()])
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(
-        F.col("_range").desc() if descending else F.col("_range").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged(df, by, order, descending)
+    df.unpersist()
+    totals = parts.groupBy(*by, "_range").agg(*[getattr(F, how)(col).alias(out) for out, (how, col) in aggs.items()])
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*by, "_range", *[getattr(F, how)(out).over(before).alias(f"_s_{out}")
                                             for out, (how, _) in aggs.items()])
     inside = Window.partitionBy(*by, "_range").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-    out = apply(ranged, inside, aggs).join(starts, [*by, "_range"])
+    out = join_same(apply(parts, inside, aggs), starts, [*by, "_range"])
     for name, (how, _) in aggs.items():
         start = F.col(f"_s_{name}")
         out = out.withColumn(name, F.when(start.isNull(), F.col(name)).otherwise(
-            F.col(name) + start if how == "sum" else F.greatest(F.col(name), start))).drop(f"_s_{name}")
+            F.coalesce(F.col(name), F.lit(0)) + start if how == "sum" else _OF_TWO[how](F.col(name), start))).drop(f"_s_{name}")
     return out.drop("_range")
 
 
-def spread_rank(df: DataFrame, keys: list[str], order: str, out: str = "rank", parts: int = 64) -> DataFrame:
+def spread_rank(df: DataFrame, keys: list[str], order: str, out: str = "rank", parts: int | None = None) -> DataFrame:
     """Number the rows of each key from 1 without gathering a hot key in one task.
 
-    Rows of a key are dealt to ``parts`` slices by hash; each slice is numbered on
-    its own and shifted by the size of the slices before it. The numbering is
-    deterministic, though it follows slice, then ``order``.
+    Rows of a key are dealt to ``parts`` slices by hash, twice as many as there are shuffle partitions but 64 at least;
+    each slice is numbered on its own and shifted by the size of the slices before it. The numbering is
+    deterministic for a number of slices, though it follows slice, then ``order``.
     """
+    parts = parts or max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(order), F.lit(parts)))
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,21 +85,19 @@ def spread_rank(df: DataFrame, keys: list[str], order: str, out: str = "rank", p
             .withColumn(out, F.row_number().over(inside) + F.col("_shift")).drop("_slice", "_shift"))
 
 
-def previous(df: DataFrame, by: list[str], order: str, value: str, out: str, slices: int = 64) -> DataFrame:
+def previous(df: DataFrame, by: list[str], order: str, value: str, out: str, slices: int | None = None) -> DataFrame:
     """``value`` of the row before, by ``order`` within ``by``, as column ``out``.
 
     The order is cut into ranges so that a key holding much of the data is not
-    one window: rows look back inside their range, and the first row of a range
-    takes the last value of the range before it.
+    one window, into ``slices`` if given: rows look back inside their range, and the first row of a range
+    takes the last value of the range before it that its key stands in.
     """
-    bounds = df.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
-    cut = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    ranged = df.withColumn("_range", F.size(F.filter(cut, lambda b: b < F.col(order))))
+    parts = ranged(df, by, order, parts=slices)
     w = Window.partitionBy(*by, "_range").orderBy(order)
-    last = ranged.groupBy(*by, "_range").agg(F.max_by(F.struct(value), order).alias("_last"))
-    carried = last.select(*by, "_range", F.lag("_last").over(Window.partitionBy(*by).orderBy("_range")).alias("_carry"))
+    last = parts.groupBy(*by, "_range").agg(F.max_by(F.struct(value), order).alias("_last"))
+    carried = last.select(*by, "_range", F.lag("_last").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range")).alias("_carry"))
     inside = F.lag(F.struct(value)).over(w)
-    return (ranged.withColumn("_before", inside).join(carried, [*by, "_range"])
+    return (join_same(parts.withColumn("_before", inside), carried, [*by, "_range"])
             .withColumn(out, F.coalesce("_before", "_carry")[value]).drop("_range", "_before", "_carry"))
 
 

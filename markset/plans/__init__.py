@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("spatial", "scoring", "reviews", "learning", "legends", "datasets", "streams", "drawings")
+MODULES = ("spatial", "scoring", "reviews", "learning", "legends", "datasets", "streams", "drawings", "sheets")
 
 
 def load_all() -> None:

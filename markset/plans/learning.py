@@ -113,9 +113,7 @@ ISO = """st AS (SELECT score, avg(label) AS y, count(*)::DOUBLE AS w FROM fx_pai
 
 @query("isotonic_fit", "E13 H23", FXP + f", {ISO} SELECT pair_id, round(fitted,6) AS p FROM fx_pairs JOIN o USING (score) JOIN fit USING (i)")
 def _(t):
-    xs, ys = C.isotonic_fit_global(t.fx_pairs)
-    distinct = t.fx_pairs.select("score").distinct().withColumn("p", C.interpolate(F.col("score"), list(xs), list(ys)))
-    return t.fx_pairs.join(distinct, "score").select("pair_id", F.round("p", 6).alias("p"))
+    return C.calibrated(t.fx_pairs, C.isotonic_fit(t.fx_pairs, []), []).select("pair_id", F.round("p", 6).alias("p"))
 
 
 @query("isotonic_fit_by_group", "E13", FXP + """, st AS (SELECT group_id, score, avg(label) AS y, count(*)::DOUBLE AS w FROM fx_pairs GROUP BY ALL),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from markset.functions import text as T
 from markset.operators import calibrate, graph, legend, reviews, vectors
+from markset.operators import running as running_of
 from markset.operators.graph import greedy_keep
 from markset.operators.primitives import resolve_spots
 from markset.operators.running import dense_ids, percentiles, previous, running, spread_rank
@@ -152,12 +153,39 @@ def test_k_medoids_refuses_to_stop_early(spark):
         vectors.k_medoids(spark.createDataFrame(rows, "grp long, id long, vec array<double>"), 3, max_rounds=0)
 
 
-def test_monotone_fit_is_the_best_rising_fit():
-    rng = np.random.default_rng(5)
-    for n in (1, 2, 3, 40):
-        y, w = rng.integers(0, 3, n) / 2, rng.integers(1, 5, n).astype(float)
-        want = [max(min(np.average(y[j:k + 1], weights=w[j:k + 1]) for k in range(i, n)) for j in range(i + 1)) for i in range(n)]
-        assert np.allclose(calibrate.monotone_fit(y, w), want)
+def rising_fit(y, w):
+    return [max(min(np.average(y[j:k + 1], weights=w[j:k + 1]) for k in range(i, len(y))) for j in range(i + 1)) for i in range(len(y))]
+
+
+@pytest.mark.parametrize(("together", "limit"), [(3, 10), (7, 10), (8192, 400_000)])
+def test_isotonic_fit_by_stretches_equals_the_best_rising_fit(spark, together, limit, monkeypatch):
+    monkeypatch.setattr(running_of.running, "__defaults__", (False, limit))
+    rng = np.random.default_rng(together)
+    rows = [("hot", float(rng.integers(0, 60)) / 8, int(rng.random() < 0.5)) for _ in range(200)] + [("up", k / 4, int(k > 12)) for k in range(25)] + [("down", k / 4, int(k < 12)) for k in range(25)]
+    rows += [("one", 2.0, 1), (None, 1.0, 1), (None, 2.0, 0), ("none", None, 1), ("none", float("nan"), 1)]
+    got = {(r["g"], r["score"]): r["fitted"] for r in calibrate.isotonic_fit(spark.createDataFrame(rows, "g string, score double, label int").repartition(3), ["g"], together).collect()}
+    want = {}
+    for g in ("hot", "up", "down", "one", None):
+        at = sorted({x for k, x, _ in rows if k == g})
+        labels = [[v for k, x, v in rows if (k, x) == (g, a)] for a in at]
+        want |= {(g, a): v for a, v in zip(at, rising_fit([np.mean(v) for v in labels], [len(v) for v in labels]))}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+
+
+def test_calibration_of_a_hot_group(spark):
+    n = 300_000
+    pairs = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") / n + 1e6).alias("score"), (F.rand(3) < F.col("id") / n).cast("int").alias("label"))
+    fit = calibrate.isotonic_fit(pairs, ["g"]).toPandas().sort_values("score")
+    assert len(fit) == n and (fit["fitted"].diff().dropna() >= 0).all() and abs(fit["fitted"] - np.arange(n) / n).mean() < 0.02
+
+
+def test_scores_between_and_outside_of_a_fit(spark):
+    fit = spark.createDataFrame([("a", 1.0, 0.2), ("a", 3.0, 0.6), ("a", 4.0, 0.6), ("b", 0.0, 0.5)], "g string, score double, fitted double")
+    x = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("a", 1.0), ("a", 2.0), ("a", 3.5), ("a", 9.0), ("b", -1.0), ("b", 1.0), ("c", 1.0), ("a", None)], "g string, score double")
+    got = sorted((r["g"], r["score"] is None, r["score"] or 0.0, None if r["p"] is None else round(r["p"], 9)) for r in calibrate.calibrated(x, fit, ["g"]).collect())
+    assert got == [("a", False, 0.0, 0.2), ("a", False, 1.0, 0.2), ("a", False, 1.0, 0.2), ("a", False, 2.0, 0.4), ("a", False, 3.5, 0.6), ("a", False, 9.0, 0.6), ("a", True, 0.0, None),
+                   ("b", False, -1.0, 0.5), ("b", False, 1.0, 0.5), ("c", False, 1.0, None)]
+    assert {tuple(r) for r in calibrate.calibration_steps(fit, ["g"]).collect()} == {("a", 0.2, 1.0, 1.0), ("a", 0.6, 3.0, 4.0), ("b", 0.5, 0.0, 0.0)}
 
 
 def test_template_bank_covers_every_member(spark):
