@@ -211,6 +211,43 @@ def test_negative_bank_keeps_few_or_medoids(spark):
     assert {r["grp"]: r["count"] for r in bank} == {0: 5, 1: 6}
 
 
+def nearest_of(q, t, k, by_part):
+    out = {}
+    for qi, qg, qp, v in q:
+        sims = sorted((-round(float(np.dot(v, u)), 9), i, y) for i, g, p, u, y in t if g == qg and not (by_part and p == qp))
+        side = lambda want: max((-s for s, _, y in sims if y == want), default=-math.inf)  # noqa: E731, B023
+        out[qi] = ([(i, y) for _, i, y in sims[:k]], round(side(1), 8), round(side(0), 8))
+    return out
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_balls_find_the_same_neighbours(spark, clustered):
+    rng = np.random.default_rng(8)
+    heads = rng.normal(size=(12, 16))
+    v = (heads[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 16)) * 0.05 if clustered else rng.normal(size=(1500, 16)))
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    v[5], v[6], v[7] = v[4], v[4], 0.0  # ties and a zero vector
+    t = [(i, "ab"[i % 7 == 0], i % 5, x.tolist(), int(i % 11 == 0)) for i, x in enumerate(v)]
+    train = spark.createDataFrame(t, "id long, g string, part int, vec array<double>, label int")
+    queries = spark.createDataFrame([(10_000 + i, "ab"[i % 2], i % 5, v[(i * 7) % 1500].tolist()) for i in range(400)] + [(99_999, "none", 0, v[0].tolist())], "id long, g string, part int, vec array<double>")
+    want = nearest_of([tuple(r) for r in queries.where("g <> 'none'").collect()], t, 5, True)
+    met = []
+    got = vectors.nearest(queries, train, 5, ["g"], exclude_part=True, block_rows=24, met=met).collect()
+    assert {r["id"]: ([(x["id"], x["label"]) for x in r["top"]], round(r["best_pos"], 8), round(r["best_neg"], 8)) for r in got} == want
+    assert sum(met[:2]) <= met[2]
+
+
+def test_balls_of_clusters_seldom_meet(spark):
+    rng = np.random.default_rng(8)
+    heads = rng.normal(size=(12, 16))
+    v = heads[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 16)) * 0.05
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    train = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)], "id long, vec array<double>, label int")
+    met = []
+    vectors.nearest(train.where("id % 3 = 0").drop("label"), train, 5, block_rows=24, met=met).count()
+    assert sum(met[:2]) < 0.3 * met[2]
+
+
 def test_isotonic_known_answer(spark):
     pairs = spark.createDataFrame([(0, 0.1, 0), (0, 0.2, 1), (0, 0.2, 0), (0, 0.3, 0), (0, 0.4, 1)], "g long, score double, label int")
     got = {r["score"]: r["fitted"] for r in calibrate.isotonic_fit(pairs, ["g"]).collect()}
