@@ -5,6 +5,74 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import numpy as np
+
+#: Edges from which on a component is worth a table, and entries that the table may have, in all and for each edge.
+DENSE_EDGES, DENSE_ENTRIES, SPARSE = 48, 16_000_000, 256
+
+
+def solve_component(preds: Sequence, refs: Sequence, dist: Sequence[float], cap_p: dict, cap_r: dict) -> list[int]:
+    """Units along each edge of a component: by a table of distances where it is dense enough for one, else by paths."""
+    units_p, units_r = sum(cap_p.values()), sum(cap_r.values())
+    if len(dist) < DENSE_EDGES or units_p * units_r > min(DENSE_ENTRIES, SPARSE * len(dist)):
+        return assign_component(preds, refs, dist, cap_p, cap_r)
+    p_at, r_at = {p: i for i, p in enumerate(cap_p)}, {r: i for i, r in enumerate(cap_r)}
+    d = np.asarray(dist, dtype="float64")
+    ip, ir = np.array([p_at[p] for p in preds]), np.array([r_at[r] for r in refs])
+    # a pair out of reach costs more than all that could be saved by it, so as few as possible are taken
+    far = (d.max() + 1.0) * (min(units_p, units_r) + 1)
+    table = np.full((len(cap_p), len(cap_r)), far)
+    table[ip, ir] = d
+    rows, cols = np.repeat(np.arange(len(cap_p)), list(cap_p.values())), np.repeat(np.arange(len(cap_r)), list(cap_r.values()))
+    units = table[np.ix_(rows, cols)]
+    partner = assign_table(units) if len(rows) <= len(cols) else _turned(assign_table(units.T), len(rows))
+    took = partner >= 0
+    flow = np.zeros(table.shape, dtype="int64")
+    np.add.at(flow, (rows[took], cols[partner[took]]), 1)
+    return flow[ip, ir].tolist()
+
+
+def _turned(partner: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, -1)
+    out[partner] = np.arange(len(partner))
+    return out
+
+
+def assign_table(cost: np.ndarray) -> np.ndarray:
+    """The column of each row in a complete assignment of least total cost; rows are no more than columns.
+
+    Each row in turn finds a shortest path, under potentials that keep reduced costs from being negative, to a
+    free column; a step looks at a whole row of the table at once.
+    """
+    n, m = cost.shape
+    u, v = np.zeros(n), np.zeros(m)
+    row_of, col_of = np.full(m, -1), np.full(n, -1)
+    for start in range(n):
+        reach, before, open_ = np.full(m, np.inf), np.full(m, -1), np.ones(m, bool)
+        i, least, seen = start, 0.0, []
+        while True:
+            seen.append(i)
+            step = least + cost[i] - u[i] - v
+            nearer = open_ & (step < reach)
+            reach[nearer] = step[nearer]
+            before[nearer] = i
+            j = int(np.argmin(np.where(open_, reach, np.inf)))
+            least = reach[j]
+            open_[j] = False
+            if row_of[j] < 0:
+                break
+            i = row_of[j]
+        rest = np.array(seen[1:], dtype=int)
+        u[start] += least
+        u[rest] += least - reach[col_of[rest]]
+        v[~open_] -= least - reach[~open_]
+        while True:  # turn the path around
+            i = before[j]
+            row_of[j], col_of[i], j = i, j, col_of[i]
+            if i == start:
+                break
+    return col_of
+
 
 def assign_component(preds: Sequence, refs: Sequence, dist: Sequence[float], cap_p: dict, cap_r: dict) -> list[int]:
     """Units sent along each edge ``(preds[i], refs[i])`` of one component.
