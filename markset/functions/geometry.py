@@ -185,3 +185,20 @@ def point_box(x: Column, y: Column, size: float = 40.0, whole: bool = False) ->
     if whole:
         left, top = F.bround(left), F.bround(top)
     return [left, top, F.lit(size), F.lit(size)]
+
+
+def tolerance_of(w: Column, h: Column, rel: float | None, px: float | None) -> tuple[Column, Column]:
+    """Matching radius of a prediction and what is wrong with it.
+
+    With ``rel`` the radius is that share of the shorter side of the prediction's box; without a box, or without
+    ``rel``, it is ``px``. Where neither gives one the radius is null and the problem is ``no_box_for_relative``.
+    """
+    for v in (rel, px):
+        if v is not None and not 0 <= v < float("inf"):
+            raise ValueError("a tolerance must be finite and not negative")
+    if rel is None and px is None:
+        raise ValueError("give a relative or a pixel tolerance")
+    fixed = F.lit(px).cast("double")
+    own = F.when(w.isNotNull() & h.isNotNull(), F.lit(rel).cast("double") * F.least(w, h))
+    radius = fixed if rel is None else F.coalesce(own, fixed)
+    return radius, F.when(radius.isNull(), F.lit("no_box_for_relative"))

@@ -134,3 +134,12 @@ def check_pairs(dets: DataFrame, refs: DataFrame, key: str, fields: list[str]) -
     both = F.col("d._side").isNotNull() & F.col("r._side").isNotNull()
     code += [F.when(both & ~F.col(f"d.{f}").eqNullSafe(F.col(f"r.{f}")), f"{f}_differs") for f in fields]
     return j.select(key, F.array_compact(F.array(*code)).alias("problems")).where(F.size("problems") > 0)
+
+
+def refuse_repeated_pages(pages: DataFrame) -> DataFrame:
+    """Adds ``repeats``: the position of the first page of the corpus with the same document version and page, null where
+    a page is the first of its kind or names no document. ``pages``: corpus_id, position, document_version, page_index."""
+    key = ["corpus_id", "document_version", "page_index"]
+    first = pages.where("document_version IS NOT NULL AND page_index IS NOT NULL").groupBy(*key).agg(F.min("position").alias("_first"))
+    j = pages.join(first, key, "left")
+    return j.withColumn("repeats", F.when(F.col("_first") < F.col("position"), F.col("_first"))).select(*pages.columns, "repeats")

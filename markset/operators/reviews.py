@@ -228,6 +228,21 @@ def daily_activity(hourly: DataFrame, offset_hours: int, first_day: int, last_da
     return calendar.join(found, "day", "left").fillna(0, ["actions"])
 
 
+def window_start(at_us: Column, days: Column | int) -> Column:
+    """Start of an activity window as RFC 3339 UTC text with milliseconds: midnight, ``days`` whole UTC days before ``at_us``."""
+    day = F.floor(at_us / 86_400_000_000).cast("int") - (F.lit(days) if isinstance(days, int) else days).cast("int")
+    return F.concat(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd"), F.lit("T00:00:00.000Z"))
+
+
+def daily_activity_in(hourly: DataFrame, zone: str) -> DataFrame:
+    """Hourly counts folded to the dates of a time zone, its changes of clock included, with a row for every date from the
+    first to the last of the data. Columns: day, actions. ``hourly``: hour since the epoch in UTC, actions."""
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("hour").cast("int"))
+    found = hourly.select(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc).cast("date").alias("day"), "actions").groupBy("day").agg(F.sum("actions").alias("actions"))
+    ends = found.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a IS NOT NULL")
+    return ends.select(F.explode(F.sequence("a", "b")).alias("day")).join(found, "day", "left").fillna(0, ["actions"])
+
+
 def site_activity(audit: DataFrame, by: str = "actor") -> DataFrame:
     return audit.groupBy(by, "action").agg(F.count(F.lit(1)).alias("n"), F.max("at_us").alias("last_us"))
 
@@ -331,6 +346,15 @@ def active_model(history: DataFrame) -> DataFrame:
     return active.join(before, "kind", "left")
 
 
+def alive_rows(rows: DataFrame, documents: DataFrame, page: str | None = None) -> DataFrame:
+    """``rows`` of documents that still exist: whose ``document_version`` is in ``documents``; with ``page`` the version is
+    read from that page id. Rows without a version go; other columns pass."""
+    if page is None:
+        return rows.join(documents.select("document_version").distinct(), "document_version", "left_semi").select(*rows.columns)
+    version = F.regexp_extract(page, r"^(.*)#p\d+$", 1)
+    return rows.withColumn("_version", version).join(documents.select(F.col("document_version").alias("_version")).distinct(), "_version", "left_semi").select(*rows.columns)
+
+
 def dependents_of_document(rows: DataFrame, deleted: DataFrame, page: str = "canonical_page_id") -> DataFrame:
     """Rows that still refer to a deleted document version."""
     version = F.regexp_extract(page, r"^(.*)#p\d+$", 1)

@@ -302,3 +302,98 @@ def _(t):
                  ).write.option("header", True).option("sep", "\t").option("quote", "").option("escape", "").csv(path)
     w = readers.read_ocr_tsv(t.spark, path, 30.0)["words"]
     return w.groupBy(F.col("page_num").cast("bigint").alias("page_num"), F.col("line_num").cast("bigint").alias("line_num")).agg(F.count(F.lit(1)).alias("n"))
+
+
+FRAME = {"space": "canonical_raster_px", "dpi": 200.0, "width": 3400, "height": 2200, "origin": "top-left", "y_axis": "down"}
+
+
+def frame_column():
+    return F.struct(*[F.lit(v).alias(k) for k, v in FRAME.items()])
+
+
+def written(t, name, df):
+    path = scratch(t, name)
+    df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return path
+
+
+def text_id(prefix, c):
+    return F.concat(F.lit(prefix), (F.col(c) if isinstance(c, str) else c).cast("string"))
+
+
+@query("repeated_pages", "A4", cte("fx_scans") + """, p AS (SELECT document_id AS corpus_id, scan_id AS position, CASE WHEN scan_id % 10 <> 0 THEN document_version END AS document_version, page_index FROM fx_scans)
+    SELECT corpus_id, position, CASE WHEN document_version IS NOT NULL THEN nullif(min(position) OVER (PARTITION BY corpus_id, document_version, page_index), position) END AS repeats FROM p""")
+def _(t):
+    p = t.fx_scans.select(F.col("document_id").alias("corpus_id"), F.col("scan_id").alias("position"), F.when(F.col("scan_id") % 10 != 0, F.col("document_version")).alias("document_version"), "page_index")
+    return corpus.refuse_repeated_pages(p).select("corpus_id", "position", "repeats")
+
+
+@query("read_detections", "A2 B1 B2", cte("fx_detections") + """ SELECT CAST(page_id AS VARCHAR) AS scan_id, CAST(det_id AS VARCHAR) AS pred_id, x, y, score AS confidence, w, h, CASE WHEN det_id % 13 = 0 THEN 'corrected_pin' ELSE '' END AS problems FROM fx_detections""")
+def _(t):
+    d = F.struct(F.col("det_id").cast("string").alias("id"), "x", "y", F.when(F.col("det_id") % 2 == 0, F.col("score")).alias("confidence"), "score", F.when(F.col("det_id") % 13 == 0, "manual").otherwise("detector").alias("source"),
+                 F.struct((F.col("x") - F.col("w") / 2).alias("x"), (F.col("y") - F.col("h") / 2).alias("y"), F.col("w").alias("width"), F.col("h").alias("height")).alias("box"))
+    # a file holds the detections of a scan of a page: a few hundred
+    per = t.fx_detections.groupBy("page_id", (F.col("det_id") % 16).alias("part")).agg(F.collect_list(d).alias("detections"))
+    doc = per.select(F.lit("detector_output").alias("provenance"), F.col("page_id").cast("string").alias("scan_id"), F.struct(text_id("d", "page_id").alias("document_id"), F.lit("v").alias("document_version"), F.lit(0).alias("page_index")).alias("document"),
+                     frame_column().alias("coordinate_frame"), F.lit(1.5).alias("elapsed_seconds"), "detections")
+    got = readers.read_detections(t.spark, written(t, "detections", doc), multiline=False)
+    cols = ["scan_id", "pred_id", "x", "y", "confidence", "w", "h"]
+    return got["points"].select(*cols, F.lit("").alias("problems")).unionByName(got["refused"].select(*cols, F.array_join("problems", ",").alias("problems")))
+
+
+@query("read_ground_truth", "A3 B1 B4", cte("fx_references") + """, f AS (SELECT DISTINCT page_id FROM fx_references)
+    SELECT 'point' AS kind, 'g' || CAST(page_id AS VARCHAR) AS dataset_id, CAST(ref_id AS VARCHAR) AS id, x, y, '' AS problems FROM fx_references
+    UNION ALL SELECT 'file', 'g' || CAST(page_id AS VARCHAR), NULL, NULL, NULL, CASE page_id % 3 WHEN 0 THEN 'assisted_claims_independence' ELSE '' END FROM f""")
+def _(t):
+    r = F.struct(F.col("ref_id").cast("string").alias("id"), "x", "y")
+    per = t.fx_references.groupBy("page_id").agg(F.collect_list(r).alias("receptacles"))
+    status = F.struct(F.when(F.col("page_id") % 3 < 2, "detector_assisted").otherwise("verified").alias("status"), (F.col("page_id") % 3 != 1).alias("independent_of_detector"), F.lit("by hand").alias("method"),
+                      F.lit("u1@x.org").alias("reviewed_by"), F.lit(True).alias("exhaustive_miss_check"), F.lit("s1").alias("source_scan_id"))
+    doc = per.select(F.struct(text_id("g", "page_id").alias("dataset_id"), status.alias("verification")).alias("dataset"),
+                     F.struct(F.lit("d").alias("document_id"), text_id("v", "page_id").alias("document_version"), F.lit(0).alias("page_index")).alias("document"), frame_column().alias("coordinate_frame"), "receptacles")
+    got = readers.read_ground_truth(t.spark, written(t, "references", doc), multiline=False)
+    none = lambda kind, n: F.lit(None).cast(kind).alias(n)
+    files = got["files"].select(F.lit("file").alias("kind"), "dataset_id", none("string", "id"), none("double", "x"), none("double", "y"), F.array_join("problems", ",").alias("problems"))
+    pts = got["points"].withColumn("problems", F.lit("")).unionByName(got["refused"].withColumn("problems", F.array_join("problems", ",")))
+    return pts.select(F.lit("point").alias("kind"), "dataset_id", F.col("ref_id").alias("id"), "x", "y", "problems").unionByName(files)
+
+
+@query("read_legends", "A12", cte("fx_legend") + """ SELECT legend_id, 'E' || CAST(entry_no AS VARCHAR) AS entry_id, tag, tag_source, description, counted, CAST(length(name) AS BIGINT) AS box_x, 'wrapped' AS flags FROM fx_legend""")
+def _(t):
+    e = F.struct(text_id("E", "entry_no").alias("id"), "tag", "tag_source", "name", "description", F.lit("Other").alias("group"), F.col("counted").alias("count"), F.array(F.array(F.length("name").cast("double"), F.lit(0.0), F.lit(20.0), F.lit(20.0))).alias("symbol_boxes"),
+                 F.array(F.lit("wrapped")).alias("flags"), F.lit("read").alias("source"), F.lit(False).alias("confirmed"))
+    per = t.fx_legend.groupBy("legend_id").agg(F.array_sort(F.collect_list(F.struct("entry_no", e.alias("e")))).alias("es"))
+    doc = per.select(F.col("legend_id").alias("pdf_sha256"), F.lit(0).alias("page_index"), F.lit("eng").alias("engineer"), F.col("es.e").alias("entries"))
+    got = readers.read_legends(t.spark, written(t, "legends", doc), multiline=False)["entries"]
+    return got.select("legend_id", "entry_id", "tag", "tag_source", "description", "counted", F.col("symbol_boxes")[0][0].cast("bigint").alias("box_x"), F.array_join("flags", ",").alias("flags"))
+
+
+@query("read_training_dataset", "A14", """WITH v AS (SELECT 'ds' || CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS VARCHAR) AS dataset_id, CASE WHEN p_partkey % 97 = 0 THEN 's0' ELSE 's' || CAST(p_partkey % 90 AS VARCHAR) END AS sample_id, CASE p_size % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, p_partkey % 2 AS label FROM part)
+    SELECT 'sample' AS kind, dataset_id, sample_id AS item_id, label FROM v WHERE split = 'train' UNION ALL SELECT 'collision', dataset_id, sample_id, NULL FROM v GROUP BY dataset_id, sample_id HAVING count(*) > 1""")
+def _(t):
+    k = F.col("p_partkey")
+    v = F.struct(F.when(k % 97 == 0, "s0").otherwise(text_id("s", k % 90)).alias("sample_id"), F.when(F.col("p_size") % 3 == 0, "train").when(F.col("p_size") % 3 == 1, "val").otherwise("test").alias("split"), (k % 2).cast("int").alias("label"))
+    doc = t.part.groupBy(text_id("ds", F.floor(k / 100)).alias("dataset_id")).agg(F.collect_list(v).alias("verifier"))
+    got = readers.read_training_dataset(t.spark, written(t, "training-sets", doc), "train", multiline=False)
+    return got["samples"].select(F.lit("sample").alias("kind"), "dataset_id", F.col("sample_id").alias("item_id"), F.col("label").cast("bigint").alias("label")).unionByName(
+        got["collisions"].select(F.lit("collision").alias("kind"), "dataset_id", F.col("key").alias("item_id"), F.lit(None).cast("bigint").alias("label")))
+
+
+@query("write_counts_csv", "A9 H18", """WITH c AS (SELECT CASE p_partkey % 5 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END || p_brand AS sheet, p_type AS tag, count(*) AS found, count(*) FILTER (WHERE p_size > 25) AS approved FROM part GROUP BY ALL)
+    SELECT CASE WHEN left(sheet, 1) IN ('=', '-', '@') THEN chr(39) || sheet ELSE sheet END AS sheet, tag, found, approved FROM c""")
+def _(t):
+    k = F.col("p_partkey") % 5
+    sheet = F.concat(F.when(k == 0, "=").when(k == 1, "-").when(k == 2, "@").otherwise(""), "p_brand")
+    c = t.part.groupBy(sheet.alias("sheet"), F.col("p_type").alias("tag")).agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("p_size") > 25).alias("approved"))
+    path = scratch(t, "counts")
+    exports.write_counts_csv(c.withColumns({n: F.lit(0) for n in ("rejected", "added", "confirmed", "unreviewed")}), path)
+    names = ("found", "approved", "rejected", "added", "confirmed", "unreviewed")
+    return t.spark.read.option("header", True).schema("sheet string, tag string, " + ", ".join(f"{n} long" for n in names)).csv(path).select("sheet", "tag", "found", "approved")
+
+
+@query("write_baseline", "A10", """SELECT CAST(12.0 AS DOUBLE) AS tolerance_px, CAST(NULL AS DOUBLE) AS tolerance_rel, round(avg(l_discount)::DOUBLE, 6) AS ap, round(avg(l_tax)::DOUBLE, 6) AS recall, round(max(l_tax)::DOUBLE, 6) AS f1 FROM lineitem""")
+def _(t):
+    s = t.lineitem.agg(*[F.round(f(c).cast("double"), 6).alias(n) for f, c, n in ((F.avg, "l_discount", "ap"), (F.avg, "l_tax", "recall"), (F.max, "l_tax", "f1"))])
+    path = scratch(t, "baseline")
+    exports.write_baseline(s.select(F.lit(12.0).alias("tolerance_px"), F.lit(None).cast("double").alias("tolerance_rel"), "ap", "recall", "f1"), path)
+    return readers.read_baseline(t.spark, path)

@@ -285,3 +285,22 @@ def _(t):
 @query("request_uuid", "H22")
 def _(t):
     return t.events.select("event_id", T.uuid5("6ba7b8119dad11d180b400c04fd430c8", F.concat(F.lit("req-"), F.col("event_id").cast("string"))).alias("event_uuid"))
+
+
+@query("legend_replay", "K18 E15")
+def _(t):
+    from markset.operators.legend_log import replay_log
+
+    k = F.col("entry_no")
+    box = lambda i: F.array(*[v.cast("double") for v in (k % 50 + 60 * i, F.lit(0), k % 50 + 60 * i + 40, F.lit(20))])
+    boxes = F.when(k % 3 == 0, F.array(box(1), box(0))).otherwise(F.array(box(0)))
+    entries = t.fx_legend.select("legend_id", k.alias("position"), F.concat(F.lit("L"), k.cast("string")).alias("entry_id"), "tag", "tag_source", "name", "description", F.lit("Other").alias("grp"), "counted", F.lit(False).alias("confirmed"),
+                                 F.when(k % 7 == 0, F.array(F.lit("wrapped"))).otherwise(F.array().cast("array<string>")).alias("flags"), F.lit("read").alias("source"), boxes.alias("symbol_boxes"))
+    n = F.col("event_id")
+    op = F.element_at(F.array(*[F.lit(v) for v in ("rename", "set_tag", "set_group", "set_count", "confirm", "merge", "split", "add", "delete")]), (n % 9 + 1).cast("int"))
+    near = t.events.select(n.alias("seq"), (F.col("user_id") * 13 + n % 13).alias("entry_no"), op.alias("op"))
+    value = F.when(F.col("op") == "set_count", F.when(F.col("seq") % 2 == 0, "true").otherwise("false")).when(F.col("op") == "merge", F.concat(F.lit("L"), (k + 1).cast("string"))).otherwise(F.concat(F.lit("V"), (F.col("seq") % 50).cast("string")))
+    edits = near.join(t.fx_legend.select("legend_id", "entry_no", "description"), "entry_no").select(
+        "legend_id", "seq", "op", F.concat(F.lit("L"), k.cast("string")).alias("entry_id"), value.alias("value"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("grp"), "description",
+        F.when(F.col("op") == "add", F.array(box(2))).alias("symbol_boxes"))
+    return replay_log(entries, edits)[0].select("legend_id", "position", "entry_id", "tag", "tag_source", "name", "grp", "counted", "confirmed", F.array_join("flags", ",").alias("flags"), F.size("symbol_boxes").alias("drawings"))

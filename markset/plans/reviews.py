@@ -187,7 +187,7 @@ def _(t):
     return R.hourly_activity(t.fx_events)
 
 
-@query("daily_activity", "D32 H26", FXR + """, h AS (SELECT CAST(floor((floor(created_us/3600000000) + 9)/24) AS BIGINT) AS day, count(*) AS actions FROM fx_events GROUP BY 1)
+@query("daily_activity", "D32", FXR + """, h AS (SELECT CAST(floor((floor(created_us/3600000000) + 9)/24) AS BIGINT) AS day, count(*) AS actions FROM fx_events GROUP BY 1)
     SELECT d AS day, coalesce(actions,0) AS actions FROM range(19720, 19760) r(d) LEFT JOIN h ON h.day=d""")
 def _(t):
     return R.daily_activity(R.hourly_activity(t.fx_events), 9, 19720, 19759)
@@ -271,10 +271,37 @@ def _(t):
     return R.active_model(h).fillna("-", ["active_model"])
 
 
-@query("alive_documents", "C15 C24", FXR + """ SELECT scan_id, canonical_page_id FROM fx_scans WHERE document_version IN (SELECT document_version FROM fx_scans GROUP BY 1 HAVING min(recorded_us) % 2 = 0)""")
+DEAD = "SELECT document_version FROM fx_scans GROUP BY 1 HAVING min(recorded_us) % 2 = 0"
+
+
+def dead_of(t):
+    return t.fx_scans.groupBy("document_version").agg(F.min("recorded_us").alias("m")).where("m % 2 = 0").select("document_version")
+
+
+@query("dependents_of_document", "C24", FXR + f" SELECT scan_id, canonical_page_id FROM fx_scans WHERE document_version IN ({DEAD})")
+def _(t):
+    return R.dependents_of_document(t.fx_scans, dead_of(t)).select("scan_id", "canonical_page_id")
+
+
+@query("alive_documents", "C15", FXR + f" SELECT scan_id, canonical_page_id, document_version FROM fx_scans WHERE document_version NOT IN ({DEAD})")
+def _(t):
+    kept = t.fx_scans.select("document_version").distinct().join(dead_of(t), "document_version", "left_anti")
+    return R.alive_rows(t.fx_scans, kept, "canonical_page_id").select("scan_id", "canonical_page_id", "document_version")
+
+
+@query("window_start", "H26", FXR + " SELECT seq, strftime(make_timestamp(created_us - created_us % 86400000000) - to_days(CAST(seq % 45 AS INT)), '%Y-%m-%dT00:00:00.000Z') AS since FROM fx_events")
+def _(t):
+    return t.fx_events.select("seq", R.window_start(F.col("created_us"), F.col("seq") % 45).alias("since"))
+
+
+ZONE = "America/New_York"
+
+
+@query("daily_activity_zone", "D32 H26", FXR + f""", h AS (SELECT CAST(timezone('{ZONE}', make_timestamptz(CAST(floor(created_us/3600000000) AS BIGINT) * 3600000000)) AS DATE) AS day, count(*) AS actions FROM fx_events GROUP BY 1),
+    d AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM h)
+    SELECT CAST(d.day AS VARCHAR) AS day, coalesce(actions, 0) AS actions FROM d LEFT JOIN h USING (day)""")
 def _(t):
-    dead = t.fx_scans.groupBy("document_version").agg(F.min("recorded_us").alias("m")).where("m % 2 = 0").select("document_version")
-    return R.dependents_of_document(t.fx_scans, dead).select("scan_id", "canonical_page_id")
+    return R.daily_activity_in(R.hourly_activity(t.fx_events), ZONE).select(F.col("day").cast("string").alias("day"), "actions")
 
 
 @query("audit_tail", "F9", FXR + " SELECT seq, action, reviewer FROM fx_events WHERE action <> 'approve' ORDER BY seq DESC LIMIT 200")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from markset.fixtures import cte
 from markset.functions import geometry as G
+from markset.functions.geometry import tolerance_of
 from markset.operators import spatial
 from markset.operators.graph import connected_components, greedy_keep
 from markset.plans.registry import query
@@ -54,6 +55,15 @@ def _(t):
     return e.select("page_id", "pred_id", "ref_id", F.round("distance", 6).alias("distance"))
 
 
+@query("tolerance_of", "H20", cte("fx_detections") + """, b AS (SELECT det_id, CASE WHEN det_id % 7 <> 0 THEN w END AS w, CASE WHEN det_id % 11 <> 0 THEN h END AS h FROM fx_detections)
+    SELECT det_id, round(CASE WHEN w IS NOT NULL AND h IS NOT NULL THEN 0.4::DOUBLE*least(w,h) ELSE 9.0 END, 6) AS with_fallback, round(CASE WHEN w IS NOT NULL AND h IS NOT NULL THEN 0.4::DOUBLE*least(w,h) END, 6) AS relative,
+      CASE WHEN w IS NULL OR h IS NULL THEN 'no_box_for_relative' ELSE '' END AS problem FROM b""")
+def _(t):
+    w, h = F.when(F.col("det_id") % 7 != 0, F.col("w")), F.when(F.col("det_id") % 11 != 0, F.col("h"))
+    (both, _), (rel, problem) = tolerance_of(w, h, 0.4, 9.0), tolerance_of(w, h, 0.4, None)
+    return t.fx_detections.select("det_id", F.round(both, 6).alias("with_fallback"), F.round(rel, 6).alias("relative"), F.coalesce(problem, F.lit("")).alias("problem"))
+
+
 @query("eligible_components", "C3", cte("fx_detections", "fx_references", recursive=True) + f""", {EDGES},
     links AS (SELECT page_id, pred_id AS a, -ref_id-1 AS b FROM edges UNION ALL SELECT page_id, -ref_id-1, pred_id FROM edges),
     reach AS (SELECT page_id, a, b FROM links UNION SELECT r.page_id, r.a, l.b FROM reach r JOIN links l ON l.page_id=r.page_id AND l.a=r.b)
