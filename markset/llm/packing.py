@@ -10,6 +10,7 @@ The pieces of a length are then numbered and take the places that the plan has f
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markset.llm.common import stored, table, tokenizer_path
-from markset.llm.tokens import encoder, ids_crc32
+from markset.llm.tokens import encoder, ids_crc32, some_texts
 
 LIMIT = 2048
 END_ID = 0
@@ -133,7 +134,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            ids_of = enc.encode([t or "" for t in b.column(1).to_pylist()])
+            ids_of = itertools.chain.from_iterable(map(enc.encode, some_texts(b.column(1))))
             rows = []
             for doc, ids in zip(b.column(0).to_pylist(), ids_of, strict=True):
                 ids = np.append(ids, np.uint32(end_id))

@@ -9,6 +9,7 @@ number of ids before it, so that records can be read in any order and in parts.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markset.llm.common import scratch, stored, table, tokenizer_path
-from markset.llm.tokens import encoder, ids_crc32
+from markset.llm.tokens import encoder, ids_crc32, some_texts
 
 END_ID = 0
 #: Bytes that a writer or reader holds before it passes them on.
@@ -76,7 +77,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
         at = tokens = number = 0
         for b in batches:
             rows, buffer = [], []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), itertools.chain.from_iterable(map(enc.encode, some_texts(b.column(1)))), strict=True):
                 ids = np.append(ids, np.uint32(end_id))
                 data = frame(doc, ids)
                 buffer.append(data)

@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Distinct cuts a worker remembers; later new ones are encoded where they occur.
 REMEMBERED = 700_000
@@ -39,7 +40,9 @@ class TokenIds:
         special = [re.escape(t["content"]) for t in said.get("added_tokens", [])]
         # a cut is doubtful where white space precedes a space that white space or the end follows
         self.doubtful = re.compile("|".join([r"\s (?:\s|\Z)", *special]))
-        self.size = self.library.get_vocab_size()
+        self.white = re.compile(r"\s")
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if self.cuts and len(line) == 1 else None
         self.known: dict[str, int] = {}
         self.n, self.flat = 0, np.zeros(1 << 16, np.uint32)
         self.at, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -47,20 +50,46 @@ class TokenIds:
     def _learn(self, keys: list[str]) -> dict[str, int]:
         """Append the ids of distinct new cuts to the pool. A text's first cut has a key of a space and
         itself, any other cut, which a space precedes, is its own key."""
-        got = []
+        got, lens = [], []
         for some in itertools.batched(keys, AT_ONCE):  # the library's results are large until their ids are taken
-            cuts = [k[1:] if k[:1] == " " else " " + k for k in some]
-            got += [e.ids for e in self.library.encode_batch_fast(cuts, add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
+            ids, n = self._ids_of(some)
+            got.append(ids)
+            lens.append(n)
+        ids, lens = np.concatenate(got), np.concatenate(lens)
         start, number = self.n, len(self.lens)
         self.n += int(lens.sum())
         while self.n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[start:self.n] = np.fromiter(itertools.chain.from_iterable(got), np.uint32, self.n - start)
+        self.flat[start:self.n] = ids
         self.at = np.concatenate([self.at, start + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
         return dict(zip(keys, range(number, number + len(keys)), strict=True))
 
+    def _ids_of(self, keys: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some cuts one after another, and how many each has.
+
+        Cuts that a space precedes and no other white space is in are one text of lines to the library: between a
+        word and a space a line feed is a token of its own, so it parts the ids. Others are texts of their own.
+        """
+        lined = [k[:1] != " " and not self.white.search(k) for k in keys] if self.line is not None else [False] * len(keys)
+        lens = np.zeros(len(keys), np.int64)
+        parts: list = [None] * len(keys)
+        joined = [i for i, x in enumerate(lined) if x]
+        if joined:
+            ids = np.asarray(self.library.encode_batch_fast(["\n".join([" " + keys[i] for i in joined])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            if len(ends) == len(joined):
+                starts = np.append(0, ends[:-1] + 1)
+                if len(joined) == len(keys):
+                    return ids[ids != self.line], ends - starts
+                for i, a, z in zip(joined, starts.tolist(), ends.tolist(), strict=True):
+                    parts[i] = ids[a:z]
+        rest = [i for i, x in enumerate(parts) if x is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([k[1:] if k[:1] == " " else " " + k for k in (keys[i] for i in rest)], add_special_tokens=False), strict=True):
+            parts[i] = np.asarray(e.ids, np.uint32)
+        lens[:] = [len(x) for x in parts]
+        return np.concatenate(parts), lens
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text in turn, a bounded number of characters at a time."""
         step, chars = [], 0
@@ -84,16 +113,14 @@ class TokenIds:
                 words[first] = " " + words[first]
                 ends.append(len(words))
         kept = len(self.lens), self.n
-        found = list(map(self.known.get, words))
-        if None in found:
-            missing = [i for i, x in enumerate(found) if x is None]
+        index = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(index < 0).tolist()
+        if missing:
             fresh = self._learn(list({words[i] for i in missing}))
             if len(self.known) < REMEMBERED:
                 self.known |= fresh
                 kept = len(self.lens), self.n
-            for i in missing:
-                found[i] = fresh[words[i]]
-        index = np.array(found, np.int64)
+            index[missing] = [fresh[words[i]] for i in missing]
         lens = self.lens[index]
         total = np.concatenate([[0], np.cumsum(lens)])
         where = np.repeat(self.at[index] - total[:-1], lens) + np.arange(total[-1])
@@ -120,5 +147,11 @@ def encoder(path: str) -> TokenIds:
     return _MADE[path]
 
 
+def some_texts(column: pa.Array, at_once: int = 512) -> Iterator[list[str]]:
+    """The texts of a column, null as empty, not all of a batch at a time."""
+    for i in range(0, len(column), at_once):
+        yield [t or "" for t in column.slice(i, at_once).to_pylist()]
+
+
 def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())

@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markset.llm.common import table, tokenizer_path, whole_text
+from markset.llm.tokens import some_texts
 
 MOST_TOKENS = 512
 CHUNK = 1 << 15
-#: Compiled states a worker keeps before it compiles afresh, and distinct cuts whose counts it keeps at most.
-STATES, COUNTED = 100_000, 300_000
+#: Compiled states a worker keeps before it compiles afresh, distinct cuts whose counts it keeps and pairs of tokens that it has looked at, at most.
+STATES, COUNTED, PAIRS = 250_000, 600_000, 300_000
 
 #: Fixed value: how byte-level tokenizers cut text into pre-tokens.
 PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -72,7 +73,7 @@ class Transducer:
                     self.inner[node] = True
                 node = nxt
             self.token[node] = word
-        self.follows = lru_cache(maxsize=100_000)(self._follows)
+        self.follows = lru_cache(maxsize=PAIRS)(self._follows)
         self.counted: dict[str, int] = {}
         self._forget()
 
@@ -243,7 +244,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, most: int = MOST
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
         for b in batches:
-            n = [count(x) for x in b.column(2).to_pylist()]
+            n = [count(x) for some in some_texts(b.column(2)) for x in some]
             columns = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([x > most for x in n], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, schema=_OUT)
 
