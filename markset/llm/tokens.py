@@ -16,6 +16,8 @@ import pyarrow as pa
 REMEMBERED = 700_000
 #: Characters of text handled, and new cuts given to the library, at a time.
 STEP_CHARS, AT_ONCE = 1_000_000, 2_000
+#: Cuts that make one text for the library; longer texts take it more time for each cut.
+LINED = 200
 
 
 class TokenIds:
@@ -76,7 +78,9 @@ class TokenIds:
         parts: list = [None] * len(keys)
         joined = [i for i, x in enumerate(lined) if x]
         if joined:
-            ids = np.asarray(self.library.encode_batch_fast(["\n".join([" " + keys[i] for i in joined])], add_special_tokens=False)[0].ids, np.uint32)
+            lines = ["\n".join([" " + keys[i] for i in some]) for some in itertools.batched(joined, LINED)]
+            found = self.library.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.fromiter(itertools.chain(found[0].ids, *([self.line, *e.ids] for e in found[1:])), np.uint32)
             ends = np.append(np.flatnonzero(ids == self.line), len(ids))
             if len(ends) == len(joined):
                 starts = np.append(0, ends[:-1] + 1)
