@@ -106,3 +106,22 @@ def _(t):
     out = finished(t, S.page_states(pages), "pages")
     last = out.groupBy("page_id").agg(F.max_by(F.struct("status", "unreviewed"), "seq").alias("l"), F.count_if(F.col("issue") == "unreviewed_pins").alias("refused"))
     return last.select("page_id", "l.status", "l.unreviewed", "refused")
+
+
+@query("stream_scan_tables", "I4 A1", cte("fx_scans", "fx_pin_detections", "fx_pins") + """ SELECT d.scan_id, d.detection_id AS pin_id, 'unreviewed' AS state, round(p.x, 3) AS x, round(p.y, 3) AS y, round(p.x - 20, 3) AS x0, round(p.y + 15, 3) AS y1, p.class_label
+    FROM fx_pin_detections d JOIN fx_pins p ON p.scan_id = d.scan_id AND p.pin_id = d.detection_id JOIN fx_scans s ON s.scan_id = d.scan_id""")
+def _(t):
+    from markset.streaming import recording as R
+
+    target = scratch(t, "scan-tables")
+    num = lambda c: F.col(c).cast("double")
+    at = t.fx_pins.select("scan_id", F.col("pin_id").alias("detection_id"), "x", "y", "class_label")
+    d = F.struct("detection_id", num("x").alias("x"), num("y").alias("y"), (num("x") - 20).alias("x0"), (num("y") - 15).alias("y0"), (num("x") + 20).alias("x1"), (num("y") + 15).alias("y1"), num("score").alias("score"), F.lit(0).alias("rotation"), "class_label")
+    # a scan holds thirteen detections at most
+    per = t.fx_pin_detections.join(at, ["scan_id", "detection_id"]).groupBy("scan_id").agg(F.array_sort(F.collect_list(d)).alias("detections"))
+    scans = t.fx_scans.join(per, "scan_id").select("scan_id", F.col("scan_id").alias("record_seq"), "canonical_page_id", "detections")
+    scans.write.parquet(f"{target}-in/first")
+    scans.withColumn("record_seq", F.col("record_seq") + 1_000_000_000).write.parquet(f"{target}-in/again")  # every scan comes twice
+    stream = t.spark.readStream.schema(scans.schema).option("recursiveFileLookup", "true").parquet(f"{target}-in")
+    R.record(stream, target, f"canonical_page_id string, detections array<{R.DETECTION}>").awaitTermination()
+    return t.spark.read.parquet(f"{target}/pins").select("scan_id", "pin_id", "state", "x", "y", "x0", "y1", "class_label")
