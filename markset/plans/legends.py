@@ -214,9 +214,12 @@ def _(t):
     return X.row_at(p, r)
 
 
-@query("text_neighbours", "C7", LINES + """, l AS (SELECT *, greatest(y1-y0,1) AS h FROM fx_legend_lines),
+# lines of a page meet in bands of 400: a line stands in the band of its top, a label looks into all that its reach touches
+@query("text_neighbours", "C7", LINES + """, h AS (SELECT *, greatest(y1-y0,1) AS h FROM fx_legend_lines),
+    l AS (SELECT *, unnest(generate_series(CAST(floor((y0-0.5*h)/400) AS BIGINT)-1, CAST(floor((y1+8*h)/400) AS BIGINT))) AS band FROM h),
+    b AS (SELECT *, CAST(floor(y0/400) AS BIGINT) AS band FROM fx_legend_lines),
     j AS (SELECT l.page_id, l.line_no AS label_id, b.line_no, (b.y0+b.y1)/2 BETWEEN l.y0-0.5*h AND l.y1+0.5*h AND b.x0>=l.x1 AND b.x0-l.x1<=12*h AS rt,
-      b.y0>=l.y1-0.3*h AND b.y0-l.y1<=8*h AND b.x0<l.x1+6*h AND b.x1>l.x0-6*h AS bl, (b.x0-l.x1)/h AS dr, (b.y0-l.y1)/h+abs(b.x0-l.x0)/(4*h) AS db FROM l JOIN fx_legend_lines b ON b.page_id=l.page_id AND b.line_no<>l.line_no)
+      b.y0>=l.y1-0.3*h AND b.y0-l.y1<=8*h AND b.x0<l.x1+6*h AND b.x1>l.x0-6*h AS bl, (b.x0-l.x1)/h AS dr, (b.y0-l.y1)/h+abs(b.x0-l.x0)/(4*h) AS db FROM l JOIN b ON b.page_id=l.page_id AND b.band=l.band AND b.line_no<>l.line_no)
     SELECT page_id, label_id, line_no, CASE WHEN rt THEN 'right' ELSE 'below' END AS side, round(CAST(CASE WHEN rt THEN dr ELSE db END AS DOUBLE),6) AS dist FROM j WHERE rt OR bl""")
 def _(t):
     lab = t.fx_legend_lines.select("page_id", F.col("line_no").alias("label_id"), "x0", "y0", "x1", "y1")
